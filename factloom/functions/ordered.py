@@ -110,10 +110,12 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float], min_rows: int = 0
+    df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float] | int, min_rows: int = 0
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: ``(group…, prob_index, quantile)``.
 
+    ``probs`` may be a count of evenly spaced quantiles; a group of fewer rows gets one per row.
+
     Equal values are merged before the sort, and each wanted rank is looked up in the running
     counts; nothing is kept per group, so group size is unbounded. Groups of ``min_rows`` rows
     or fewer are left out.
@@ -128,10 +130,18 @@ def exact_quantiles(
     totals = ranked.groupBy(*group).agg(F.max("_end").alias("_total"))
     if min_rows:
         totals = totals.filter(F.col("_total") > min_rows)
-    wanted = F.transform(
-        F.array(*[F.lit(float(p)) for p in probs]),
-        lambda p, i: F.struct(i.alias("prob_index"), (p * (F.col("_total") - 1)).alias("pos")),
-    )
+    last = F.col("_total") - 1
+    if isinstance(probs, int):
+        steps = F.least(F.lit(probs), F.col("_total")).cast("int") - 1
+        wanted = F.transform(
+            F.sequence(F.lit(0), steps),
+            lambda i: F.struct(i.alias("prob_index"), (i * last / F.greatest(steps, F.lit(1))).alias("pos")),
+        )
+    else:
+        wanted = F.transform(
+            F.array(*[F.lit(float(p)) for p in probs]),
+            lambda p, i: F.struct(i.alias("prob_index"), (p * last).alias("pos")),
+        )
     first = F.col("_end") - F.col("_n")
     covers = lambda rank: (first <= rank) & (rank < F.col("_end"))
     hits = (

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -18,8 +23,10 @@ def mean(v: Column) -> Column:
 
 def std_pop(v: Column) -> Column:
     """Population standard deviation of an array."""
-    centre = mean(v)
-    return F.sqrt(total(F.transform(v, lambda x: (x - centre) * (x - centre))) / F.size(v))
+    return let(
+        mean(v),
+        lambda centre: F.sqrt(total(F.transform(v, lambda x: (x - centre) * (x - centre))) / F.size(v)),
+    )
 
 
 def combine(a: Column, b: Column, fn: Callable[[Column, Column], Column]) -> Column:
@@ -39,7 +46,7 @@ def multiply(a: Column, b: Column) -> Column:
 
 
 def scale(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x * by)
+    return let(by, lambda factor: F.transform(v, lambda x: x * factor))
 
 
 def dot(a: Column, b: Column) -> Column:
