@@ -88,7 +88,7 @@ def main(argv: list[str]) -> int:
         try:
             problem = compare(spark, con, name, queries[name], oracles.get(name), sf_dir)
         except Exception as err:  # noqa: BLE001
-            problem = "".join(traceback.format_exception_only(err))[:1500]
+            problem = "".join(traceback.format_exception_only(err))[:500]
         bad += problem is not None
         mark = "ok " if problem is None else "BAD"
         print(f"{mark} {time.time() - start:6.2f}s {'sql ' if name in oracles else 'rows'} {name} {problem or ''}", flush=True)
