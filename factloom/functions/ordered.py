@@ -121,6 +121,9 @@ def exact_quantiles(
     or fewer are left out.
     """
     group = list(group)
+    if not group:
+        whole = df.withColumn("_all", F.lit(0))
+        return exact_quantiles(whole, ["_all"], value, probs, min_rows).drop("_all")
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))

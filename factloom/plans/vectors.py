@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from factloom.functions import numeric as N
 from factloom.functions.hashing import md5int
+from factloom.operators import fitting as FT
 from factloom.operators import sampling as S
 from factloom.operators import scoring as C
 from factloom.operators import triples as T
 from factloom.plans import fixtures as X
 from factloom.plans.numeric import DIM, sql_spread, sql_vector, sql_weight, vector, weight
-from factloom.plans.registry import query, r4, sql_md5int, sql_r4
+from factloom.plans.registry import query, r4, scratch, sql_md5int, sql_r4
 
 PART = ("c_acctbal", "c_mktsegment", "c_nationkey", "o_custkey", "o_totalprice", "o_orderstatus", "n_regionkey")
 SQL_KEY = sql_md5int("head", "rel", "coalesce(tail_id, round(tail_val * 100)::BIGINT)")
@@ -168,3 +169,47 @@ def gate_literals(spark, d):
     )
     gated = C.gate_literals(vectors, literals, weights)
     return gated.select("entity_id", *[r4(F.col("vec")[i]).alias(f"v{i}") for i in range(DIM)])
+
+
+# --- fitting -------------------------------------------------------------------------------------
+
+FIT = FT.FitConfig(model="relation_scaled", dim=8, numeric="interp", negatives=2, lr=0.05, n_batches=1, seed=3)
+
+
+def fitted(spark, d, config=FIT, epochs=2):
+    folder = scratch(spark, "fit")
+    triples = X.graph(spark, d, *PART)
+    return FT.fit_vectors(triples, config, epochs, folder, save_epochs=(1, 2)), triples, folder
+
+
+for _model, _numeric, _loss in (
+    ("relation_scaled", "interp", "softplus"),
+    ("translation", "bins", "margin"),
+    ("bilinear", None, "softplus"),
+):
+
+    @query(f"fit_vectors_{_model}")
+    def fit_vectors(spark, d, _model=_model, _numeric=_numeric, _loss=_loss):
+        config = FT.FitConfig(
+            model=_model, dim=8, numeric=_numeric, loss=_loss, negatives=2, lr=0.05, n_batches=1, seed=3
+        )
+        params, _, _ = fitted(spark, d, config, epochs=1)
+        return params
+
+
+@query("epoch_loss")
+def epoch_loss(spark, d):
+    params, triples, _ = fitted(spark, d)
+    return FT.epoch_loss(params, FIT, triples.count())
+
+
+@query("checkpoint_epochs")
+def checkpoint_epochs(spark, d):
+    _, _, folder = fitted(spark, d)
+    return FT.checkpoint_catalogue(spark, folder)
+
+
+@query("export_vectors")
+def export_vectors(spark, d):
+    params, _, _ = fitted(spark, d, epochs=1)
+    return FT.export_vectors(params, FIT)
