@@ -81,7 +81,8 @@ def number_in_groups(
 def running_totals(
     df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Mapping[str, str]
 ) -> DataFrame:
-    """Inclusive running sums of ``sums[out]`` per group along ``order``.
+    """Inclusive running sums ``out`` of the columns ``sums[out]`` per group along ``order``, and the
+    group totals ``<out>_total``.
 
     ``(group, order)`` must be unique. Rows are range-partitioned, so a group spans as many
     tasks as it needs; only partition totals are combined across tasks.
@@ -94,7 +95,8 @@ def running_totals(
         Window.unboundedPreceding, Window.currentRow
     )
     local = parts.select("*", *[F.sum(c).over(inside).alias(f"_in_{o}") for o, c in sums.items()])
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         parts.groupBy("_part", *group)
         .agg(*[F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()])
@@ -102,10 +104,13 @@ def running_totals(
             "_part",
             *group,
             *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums],
+            *[F.sum(f"_sum_{o}").over(whole).alias(f"{o}_total") for o in sums],
         )
     )
     return local.join(offsets, ["_part", *group]).select(
-        *df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums]
+        *df.columns,
+        *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums],
+        *[f"{o}_total" for o in sums],
     )
 
 
@@ -130,12 +135,11 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = running_totals(counts, group, ["_v"], {"_end": "_n"})
-    totals = ranked.groupBy(*group).agg(F.max("_end").alias("_total"))
     if min_rows:
-        totals = totals.filter(F.col("_total") > min_rows)
-    last = F.col("_total") - 1
+        ranked = ranked.filter(F.col("_end_total") > min_rows)
+    last = F.col("_end_total") - 1
     if isinstance(probs, int):
-        steps = F.least(F.lit(probs), F.col("_total")).cast("int") - 1
+        steps = F.least(F.lit(probs), F.col("_end_total")).cast("int") - 1
         wanted = F.transform(
             F.sequence(F.lit(0), steps),
             lambda i: F.struct(i.alias("prob_index"), (i * last / F.greatest(steps, F.lit(1))).alias("pos")),
@@ -147,17 +151,12 @@ def exact_quantiles(
         )
     first = F.col("_end") - F.col("_n")
     covers = lambda rank: (first <= rank) & (rank < F.col("_end"))
-    hits = (
-        ranked.join(totals, group)
-        .select(
-            *group,
-            "_v",
-            first.alias("_first"),
-            "_end",
-            F.explode(
-                F.filter(wanted, lambda w: covers(F.floor(w["pos"])) | covers(F.ceil(w["pos"])))
-            ).alias("w"),
-        )
+    hits = ranked.select(
+        *group,
+        "_v",
+        first.alias("_first"),
+        "_end",
+        F.explode(F.filter(wanted, lambda w: covers(F.floor(w["pos"])) | covers(F.ceil(w["pos"])))).alias("w"),
     )
     inside = lambda rank: (F.col("_first") <= rank) & (rank < F.col("_end"))
     low = F.max(F.when(inside(F.floor("w.pos")), F.col("_v")))

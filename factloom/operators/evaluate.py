@@ -68,7 +68,7 @@ def _ranked_folds(rows: DataFrame, group: Sequence[str], key: str, seed: int, n_
     ordered = rows.withColumn("_order", md5int(F.lit(seed), "repeat", key)).withColumn("_n", F.lit(1))
     ranked = running_totals(ordered, group, ["_order", key], {"_rank": "_n"})
     return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(n_folds)).cast("int")).drop(
-        "_order", "_n", "_rank"
+        "_order", "_n", "_rank", "_rank_total"
     )
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.hashing import md5int
-from factloom.functions.ordered import dense_ids, running_totals
+from factloom.functions.ordered import dense_ids
+from factloom.session import pin
 
 # The number of relations is a property of the schema, not of the data; dictionaries of up
 # to this many relations are broadcast.
@@ -174,6 +175,33 @@ def encode_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame
     )
 
 
+@dataclass(frozen=True)
+class Graph:
+    """Encoded triples with their dictionaries, stored once and read by everything after."""
+
+    triples: DataFrame
+    entities: DataFrame
+    relations: DataFrame
+    relation_ids: Mapping[str, tuple[int, str]]  # name -> (id, kind): schema-sized
+
+    @property
+    def n_numeric(self) -> int:
+        return sum(kind == "num" for _, kind in self.relation_ids.values())
+
+    @property
+    def n_categorical(self) -> int:
+        return len(self.relation_ids) - self.n_numeric
+
+
+def build_graph(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec], **options) -> Graph:
+    """Tables to a stored graph. The dictionary is written before the triples are encoded with it,
+    so the names are collected once."""
+    named = tables_to_triples(tables, specs, **options)
+    entities, relations = pin(entity_dictionary(named)), pin(relation_dictionary(named))
+    ids = {r["name"]: (r["rel_id"], r["kind"]) for r in relations.collect()}
+    return Graph(pin(encode_triples(named, entities, relations)), entities, relations, ids)
+
+
 def decode_triples(encoded: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Back to named triples."""
     heads = entities.select(F.col("entity_id").alias("head"), F.col("name").alias("head_name"))

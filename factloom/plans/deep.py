@@ -191,21 +191,16 @@ SQL_FLAGSHIP = f"""SELECT 'customer:' || c_custkey AS customer, {sql_r4('any_val
 @query("flagship", SQL_FLAGSHIP)
 def flagship(spark, d):
     """Customers and orders to encoded triples, then depth-2 features of every customer."""
-    tables = {name: table(spark, d, name) for name in ("customer", "orders")}
-    named = T.tables_to_triples(tables, X.SPECS)
-    entities, relations = T.entity_dictionary(named), T.relation_dictionary(named)
-    encoded = T.encode_triples(named, entities, relations)
-    rel_ids = {r["name"]: (r["rel_id"], r["kind"]) for r in relations.collect()}
-    n_num = sum(kind == "num" for _, kind in rel_ids.values())
-    n_cat = len(rel_ids) - n_num
+    graph = T.build_graph({name: table(spark, d, name) for name in ("customer", "orders")}, X.SPECS)
+    entities = graph.entities
 
     def code(rel, inverse=False):
-        number, kind = rel_ids[rel]
-        return f"N{number}" if kind == "num" else f"C{number - n_num + n_cat * inverse}"
+        number, kind = graph.relation_ids[rel]
+        return f"N{number}" if kind == "num" else f"C{number - graph.n_numeric + graph.n_categorical * inverse}"
 
     orders, price = code("o_orderkey -> o_custkey", True), code("o_orderkey -> o_totalprice")
     targets = entities.filter(F.col("name").startswith("customer:"))
-    matrix = D.deep_features(encoded, targets, 2, n_num, n_cat)
+    matrix = D.deep_features(graph.triples, targets, 2, graph.n_numeric, graph.n_categorical)
     col = lambda name: F.col(f"`{name}`")
     segments = entities.select(F.col("entity_id").alias("_seg"), F.col("name").alias("segment"))
     return (

@@ -13,6 +13,7 @@ from factloom.plans import fixtures as X
 from factloom.plans.numeric import DIM, vector
 from factloom.plans.registry import query, r4, sql_md5int, sql_r4, table
 from factloom.plans.resolution import known
+from factloom.session import pin
 
 # --- folds -------------------------------------------------------------------------------------
 
@@ -112,29 +113,25 @@ def design_matrix_vectors(spark, d):
 @query("design_matrix_deep")
 def design_matrix_deep(spark, d):
     """Customers with encoded depth-1 features."""
-    named = T.tables_to_triples({t: table(spark, d, t) for t in ("customer", "orders")}, X.SPECS)
-    entities, relations = T.entity_dictionary(named), T.relation_dictionary(named)
-    encoded = T.encode_triples(named, entities, relations)
-    kinds = [r["kind"] for r in relations.collect()]
-    n_num = kinds.count("num")
-    targets = X.customer_targets(spark, d).drop("key")
-    ids = entities.filter(F.col("name").startswith("customer:"))
-    features, cat = D.long_features(encoded, ids, 1, n_num, len(kinds) - n_num)
+    graph = T.build_graph({t: table(spark, d, t) for t in ("customer", "orders")}, X.SPECS)
+    ids = graph.entities.filter(F.col("name").startswith("customer:"))
+    features, cat = D.long_features(graph.triples, ids, 1, graph.n_numeric, graph.n_categorical)
     numeric, nominal = D.feature_names(cat, 1)
-    matrix = D.encode_top_n(D.feature_matrix(features, ids, numeric, nominal), nominal)
-    return E.design_matrix(targets, entities, features=D.drop_constant_features(matrix))
+    matrix = pin(D.feature_matrix(features, ids, numeric, nominal))
+    encoded = pin(D.encode_top_n(matrix, nominal))
+    return E.design_matrix(
+        X.customer_targets(spark, d).drop("key"), graph.entities, features=D.drop_constant_features(encoded)
+    )
 
 
 @query("design_matrix_walks")
 def design_matrix_walks(spark, d):
     """Customers with walk vectors; entities outside the vocabulary get the default."""
-    named = T.tables_to_triples({"customer": table(spark, d, "customer")}, {"customer": X.SPECS["customer"]})
-    entities, relations = T.entity_dictionary(named), T.relation_dictionary(named)
-    encoded = T.encode_triples(named, entities, relations)
-    starts = W.start_entities(encoded, entities=entities, fraction=1)
-    walks = W.random_walks(W.graph_edges(encoded), starts, seed=1, max_walks=2)
-    vectors = W.vectors_or_default(entities, W.fit_walk_vectors(walks, 8, 1, seed=0), 8)
-    return E.design_matrix(X.customer_targets(spark, d).drop("key"), entities, vectors=vectors, dim=8)
+    graph = T.build_graph({"customer": table(spark, d, "customer")}, {"customer": X.SPECS["customer"]})
+    starts = W.start_entities(graph.triples, entities=graph.entities, fraction=1)
+    walks = pin(W.random_walks(W.graph_edges(graph.triples), starts, seed=1, max_walks=2))
+    vectors = W.vectors_or_default(graph.entities, W.fit_walk_vectors(walks, 8, 1, seed=0), 8)
+    return E.design_matrix(X.customer_targets(spark, d).drop("key"), graph.entities, vectors=vectors, dim=8)
 
 
 def orders_matrix(spark, d):
