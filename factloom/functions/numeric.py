@@ -1,7 +1,8 @@
 """Numeric values to vectors: per-relation scaling and the embedding forms, as expressions.
 
-Fitted scalers and weights are tables keyed by ``rel``; the number of relations is bounded by
-the schema, so they are broadcast.
+Fitted scalers hold a few numbers per relation, and relations are bounded by the schema
+(``triples.MAX_RELATIONS``), so they are broadcast. Weight tables hold vectors and are
+broadcast only after a check of their size.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from factloom.functions import vectors as V
 from factloom.functions.hashing import unit
 from factloom.functions.ordered import exact_quantiles
+from factloom.session import broadcast_if_small
 
 N_QUANTILES = 20
+WEIGHT_ROW_BYTES = 8 * 1024  # a few vectors of some hundred numbers
 
 
 def fit_quantiles(triples: DataFrame, n_quantiles: int = N_QUANTILES) -> DataFrame:
@@ -103,7 +106,7 @@ def bin_row(x: Column, rel: Column, n_bins: int) -> Column:
 
 def bin_embedding(values: DataFrame, bins: DataFrame, n_bins: int, x: str = "x") -> DataFrame:
     """Attach the vector of each value's bin; ``bins`` has ``(bin, vec)``."""
-    return values.withColumn("bin", bin_row(F.col(x), F.col("rel"), n_bins)).join(F.broadcast(bins), "bin")
+    return values.withColumn("bin", bin_row(F.col(x), F.col("rel"), n_bins)).join(broadcast_if_small(bins, WEIGHT_ROW_BYTES), "bin")
 
 
 def linear_form(x: Column, w: Column, b: Column, activation: str | None) -> Column:
@@ -133,7 +136,7 @@ def mixture_form(
 def linear_embedding(values: DataFrame, weights: DataFrame, activation: str | None, x: str = "x") -> DataFrame:
     """``weights`` has ``(rel, w, b)``."""
     return (
-        values.join(F.broadcast(weights), "rel")
+        values.join(broadcast_if_small(weights, WEIGHT_ROW_BYTES), "rel")
         .withColumn("vec", linear_form(F.col(x), F.col("w"), F.col("b"), activation))
         .drop("w", "b")
     )
@@ -142,7 +145,7 @@ def linear_embedding(values: DataFrame, weights: DataFrame, activation: str | No
 def interp_embedding(values: DataFrame, weights: DataFrame, activation: str | None, x: str = "x") -> DataFrame:
     """``weights`` has ``(rel, e1, e2)``."""
     return (
-        values.join(F.broadcast(weights), "rel")
+        values.join(broadcast_if_small(weights, WEIGHT_ROW_BYTES), "rel")
         .withColumn("vec", interpolated_form(F.col(x), F.col("e1"), F.col("e2"), activation))
         .drop("e1", "e2")
     )
@@ -152,7 +155,7 @@ def mixture_embedding(values: DataFrame, weights: DataFrame, activation: str | N
     """``weights`` has ``(rel, w1, b1, w2, b2, basis)``."""
     parts = [F.col(c) for c in ("w1", "b1", "w2", "b2", "basis")]
     return (
-        values.join(F.broadcast(weights), "rel")
+        values.join(broadcast_if_small(weights, WEIGHT_ROW_BYTES), "rel")
         .withColumn("vec", mixture_form(F.col(x), *parts, activation))
         .drop("w1", "b1", "w2", "b2", "basis")
     )

@@ -78,6 +78,24 @@ def number_in_groups(
     )
 
 
+COPIES_PER_CHUNK = 100_000
+
+
+def number_copies(df: DataFrame, out: str) -> DataFrame:
+    """Every row with a 0-based number among its exact copies.
+
+    Copies are counted before the shuffle and written out again in chunks by different tasks,
+    so one row may be repeated any number of times.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counted.withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES_PER_CHUNK)))
+    ).repartition(*df.columns, "_chunk")
+    first = F.col("_chunk") * COPIES_PER_CHUNK
+    last = F.least(F.col("_n"), first + COPIES_PER_CHUNK) - 1
+    return chunks.withColumn(out, F.explode(F.sequence(first, last))).select(*df.columns, out)
+
+
 def running_totals(
     df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Mapping[str, str]
 ) -> DataFrame:

@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 from factloom.functions import vectors as V
 from factloom.functions.hashing import draw, md5int, unit
 from factloom.functions.numeric import bin_row, random_vector, scale_values
-from factloom.functions.ordered import dense_ids
+from factloom.functions.ordered import dense_ids, number_copies
 from factloom.operators.sampling import corruption_candidates
+from factloom.session import BROADCAST_BYTES
 
 ENTITY, RELATION, NUMBER, LOSS = 0, 1, 2, 3
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
-BROADCAST_BYTES = 64 * 2**20
-COPIES_PER_CHUNK = 100_000
 CELLS_AT_ONCE = 4_000_000
 
 PARAM_SCHEMA = "kind int, id long, vec array<double>, m array<double>, v array<double>"
@@ -87,14 +86,7 @@ def training_rows(triples: DataFrame, config: FitConfig) -> DataFrame:
             num = x.select("head", "rel", "kind", F.lit(None).cast("long").alias("tail_id"), F.col("x").alias("tail_val"))
         rows = cat.unionByName(num)
     key = ["head", "rel", "kind", "tail_id", "tail_val"]
-    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    # copies of one triple are written out by several tasks, however many there are
-    chunks = counted.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / COPIES_PER_CHUNK).cast("long")))
-    ).repartition("head", "rel", "tail_id", "_chunk")
-    first = F.col("_chunk") * COPIES_PER_CHUNK
-    last = F.least(F.col("_n"), first + COPIES_PER_CHUNK) - 1
-    copies = chunks.withColumn("_copy", F.explode(F.sequence(first, last)))
+    copies = number_copies(rows.select(*key), "_copy")
     pos_id = md5int(F.lit(config.seed), "head", "rel", "tail_id", "tail_val", "_copy")
     return copies.select(pos_id.alias("pos_id"), *key).withColumn(
         "batch", F.pmod(F.col("pos_id"), F.lit(config.n_batches)).cast("int")

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import vectors as V
-from factloom.functions.numeric import interpolated_form
+from factloom.functions.numeric import WEIGHT_ROW_BYTES, interpolated_form
+from factloom.session import broadcast_if_small
 
 
 def route_tails(
@@ -38,7 +39,7 @@ def route_tails(
         routed = joined.withColumnRenamed("_tail_vec", "t")
         return routed.withColumnRenamed("_tail_bias", "t_bias") if biased else routed
     value_vec = interpolated_form(F.col(x), F.col("e1"), F.col("e2"), activation)
-    joined = joined.join(F.broadcast(weights), "rel", "left")
+    joined = joined.join(broadcast_if_small(weights, WEIGHT_ROW_BYTES), "rel", "left")
     routed = joined.withColumn("t", F.when(F.col("kind") == "num", value_vec).otherwise(F.col("_tail_vec")))
     if biased:
         routed = routed.withColumn(
@@ -72,8 +73,8 @@ def relation_scaled_score(
 
 
 def score_triples(triples: DataFrame, relations: DataFrame, model: str, p: int = 1) -> DataFrame:
-    """Add ``score`` to triples that carry ``h`` and ``t``; relation vectors are broadcast."""
-    rows = triples.join(F.broadcast(relations), "rel")
+    """Add ``score`` to triples that carry ``h`` and ``t``; relation vectors are broadcast if small."""
+    rows = triples.join(broadcast_if_small(relations, WEIGHT_ROW_BYTES), "rel")
     score = {
         "translation": lambda: translation_score(F.col("h"), F.col("r"), F.col("t"), p),
         "bilinear": lambda: bilinear_score(F.col("h"), F.col("r"), F.col("t")),

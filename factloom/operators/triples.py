@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.hashing import md5int
-from factloom.functions.ordered import dense_ids
+from factloom.functions.ordered import dense_ids, number_copies
 from factloom.session import pin
 
 # The number of relations is a property of the schema, not of the data; dictionaries of up
@@ -225,9 +225,11 @@ def decode_triples(encoded: DataFrame, entities: DataFrame, relations: DataFrame
 
 def shuffle_triples(encoded: DataFrame, seed: int) -> DataFrame:
     """Seeded random permutation, reproducible whatever the input order."""
-    # the hash key is unique up to copies of a triple; the value orders multi-valued numbers
-    keyed = encoded.withColumn("shuffle_key", md5int(F.lit(seed), "head", "rel", "tail_id"))
-    return keyed.orderBy("shuffle_key", "head", "rel", "tail_id", "tail_val")
+    # copies of a triple and values of one head hash apart, so no key gathers many rows
+    numbered = number_copies(encoded, "_copy")
+    value = F.round(F.col("tail_val") * 1_000_000).cast("long")
+    keyed = numbered.withColumn("shuffle_key", md5int(F.lit(seed), "head", "rel", "tail_id", value, "_copy"))
+    return keyed.orderBy("shuffle_key", "head", "rel", "tail_id", "tail_val").drop("_copy")
 
 
 def dataset_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:

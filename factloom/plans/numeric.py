@@ -8,6 +8,7 @@ from factloom.functions import numeric as N
 from factloom.functions.hashing import unit
 from factloom.plans import fixtures as X
 from factloom.plans.registry import query, r4, sql_md5int, sql_r4
+from factloom.session import pin
 
 DIM = 4
 NUM_RELS = [r for r in X.RELATIONS if X.RELATIONS[r] < X.N_NUMERIC]
@@ -50,7 +51,8 @@ def numeric(spark, d):
 
 
 def rels(df):
-    return df.select("rel").distinct()
+    """Relations present, stored: weights are derived from them."""
+    return pin(df.select("rel").distinct())
 
 
 def spread(df, vec: str = "vec", dim: int = DIM, **keep):

@@ -180,8 +180,8 @@ def decode_triples(spark, d):
 
 @query(
     "shuffle_triples",
-    f"WITH graph AS ({X.sql_graph()}) SELECT head, rel, kind, tail_id, tail_val, "
-    f"{sql_md5int('7', 'head', 'rel', 'tail_id')} AS shuffle_key FROM graph",
+    f"WITH graph AS ({X.sql_graph()}), c AS (SELECT *, row_number() OVER (PARTITION BY head, rel, tail_id, tail_val) - 1 AS copy FROM graph) "
+    f"SELECT head, rel, kind, tail_id, tail_val, {sql_md5int('7', 'head', 'rel', 'tail_id', 'round(tail_val * 1000000)::BIGINT', 'copy')} AS shuffle_key FROM c",
 )
 def shuffle_triples(spark, d):
     return T.shuffle_triples(X.graph(spark, d), seed=7)

@@ -11,7 +11,7 @@ from factloom.operators import sampling as S
 from factloom.operators import scoring as C
 from factloom.operators import triples as T
 from factloom.plans import fixtures as X
-from factloom.plans.numeric import DIM, sql_spread, sql_vector, sql_weight, vector, weight
+from factloom.plans.numeric import DIM, rels, sql_spread, sql_vector, sql_weight, vector, weight
 from factloom.plans.registry import query, r4, scratch, sql_md5int, sql_r4
 
 PART = ("c_acctbal", "c_mktsegment", "c_nationkey", "o_custkey", "o_totalprice", "o_orderstatus", "n_regionkey")
@@ -76,7 +76,7 @@ def entity_vectors(triples):
 
 def relation_vectors(triples):
     rel = F.col("rel")
-    return triples.select("rel").distinct().select(
+    return rels(triples).select(
         "rel", *[vector(tag, rel).alias(tag) for tag in ("r", "diag", "e1", "e2")], weight("nb", rel).alias("num_bias")
     )
 

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings the operators count on: skewed join keys are split by AQE even when
 # that costs an extra exchange, and timestamps are read as UTC.
@@ -54,3 +55,12 @@ def pin(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 64 * 2**20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a table only after counting that it fits; otherwise the planner joins by shuffle."""
+    rows = limit // row_bytes
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
