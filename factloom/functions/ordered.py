@@ -1,8 +1,8 @@
 """Numbering, running sums and exact quantiles that no single task has to hold.
 
-``dense_ids`` and ``number_in_groups`` are lazy and depend only on the data: rows are put in
-buckets by a hash of their key, numbered inside the bucket, and shifted by the bucket sizes.
-``running_totals`` needs value order, so it range-partitions and pins that layout once.
+``dense_ids`` and ``number_in_groups`` depend only on the data, not on its partitioning: rows
+are put in buckets by a hash of their key, numbered inside the bucket, and shifted by the bucket
+sizes. ``running_totals`` needs value order, so it range-partitions and stores that layout once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,11 @@ ROWS_PER_BUCKET = 100_000
 
 
 def dense_ids(keys: DataFrame, key: str, out: str) -> DataFrame:
-    """0-based dense ids for distinct string keys, ordered by (md5 prefix, key)."""
+    """0-based dense ids for distinct string keys, ordered by (md5 prefix, key).
+
+    The keys are stored first, as they are read once for the bucket sizes and once for the ids.
+    """
+    keys = pin(keys)
     bucketed = keys.withColumn("_bucket", F.substring(F.md5(F.col(key)), 1, HEX_DIGITS))
     # at most 4096 rows whatever the data: safe in one task and safe to broadcast
     offsets = (

@@ -151,14 +151,13 @@ def through_tails(links: DataFrame, multi_cat: Sequence[str], features: DataFram
     Numeric ones get the numeric statistics, categorical ones the distinct count and mode.
     """
     edges = of_columns(links, multi_cat).select("head", "col", F.col("tail_id").alias("_tail"))
-    reached = edges.join(features.withColumnRenamed("head", "_tail"), "_tail").withColumn(
-        "_of", F.concat("col", F.lit("."), "feature")
-    )
+    reached = edges.join(features.withColumnRenamed("head", "_tail"), "_tail")
+    keys, name = ["head", "col", "feature"], F.concat("col", F.lit("."), "feature")
     # a feature is numeric or categorical by name: cat is null on every row of a numeric one
-    num = numeric_stats(reached.filter("cat is null and num is not null"), ["head", "_of"], "num")
-    cat = categorical_stats(reached.filter("cat is not null"), ["head", "_of"], "cat")
-    return _long(num, ["head"], F.col("_of"), NUMERIC_STATS, []).unionByName(
-        _long(cat, ["head"], F.col("_of"), ["NUM_UNIQUE"], ["MODE"])
+    num = numeric_stats(reached.filter("cat is null and num is not null"), keys, "num")
+    cat = categorical_stats(reached.filter("cat is not null"), keys, "cat")
+    return _long(num, ["head"], name, NUMERIC_STATS, []).unionByName(
+        _long(cat, ["head"], name, ["NUM_UNIQUE"], ["MODE"])
     )
 
 

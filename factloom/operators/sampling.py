@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.hashing import draw
 from factloom.functions.ordered import ROWS_PER_BUCKET, number_in_groups
+from factloom.session import pin
 
 HEAD, TAIL = 0, 1
 
@@ -17,15 +18,17 @@ def corruption_candidates(triples: DataFrame, rows_per_bucket: int = ROWS_PER_BU
     side = lambda code, id_, val: F.struct(
         F.lit(code).alias("side"), id_.alias("cand_id"), val.alias("cand_val")
     )
-    members = triples.select(
-        "rel",
-        F.inline(
-            F.array(
-                side(HEAD, F.col("head"), F.lit(None).cast("double")),
-                side(TAIL, F.col("tail_id"), F.col("tail_val")),
-            )
-        ),
-    ).distinct()
+    members = pin(
+        triples.select(
+            "rel",
+            F.inline(
+                F.array(
+                    side(HEAD, F.col("head"), F.lit(None).cast("double")),
+                    side(TAIL, F.col("tail_id"), F.col("tail_val")),
+                )
+            ),
+        ).distinct()
+    )
     numbered = number_in_groups(members, ["rel", "side"], ["cand_id", "cand_val"], "position", rows_per_bucket)
     # one row per relation: broadcast
     heads = members.filter(F.col("side") == HEAD).groupBy("rel").agg(F.count(F.lit(1)).alias("n_heads"))
@@ -37,7 +40,8 @@ def corruption_candidates(triples: DataFrame, rows_per_bucket: int = ROWS_PER_BU
 
 def corrupt_triples(positives: DataFrame, candidates: DataFrame, k: int, seed: int) -> DataFrame:
     """``k`` negatives per positive; each replaces one side by a uniform draw over the relation's
-    candidates. ``positives`` carries a ``pos_id`` on which the draws depend.
+    candidates (best a stored table: it is read twice). ``positives`` carries a ``pos_id`` on which
+    the draws depend.
 
     A draw is an equi-join on (relation, drawn position): one row per draw, spread evenly even
     when one relation has most of the triples.

@@ -184,7 +184,7 @@ def inverse_count(spark, d):
 
 COVER_RELS = ("c_acctbal", "c_mktsegment", "c_nationkey", "o_custkey", "s_acctbal", "s_nationkey")
 SQL_COVER = f"""WITH graph AS ({X.sql_graph(*COVER_RELS)}), t AS (SELECT {X.sql_entity('c_custkey', 'customer')} AS entity_id FROM customer
-    UNION ALL SELECT {X.sql_entity('s_suppkey', 'supplier')} FROM supplier WHERE s_suppkey % 50 = 0),
+    UNION ALL SELECT {X.sql_entity('s_suppkey', 'supplier')} FROM supplier WHERE s_acctbal > 5000),
   places AS (SELECT DISTINCT rel, kind, false AS inverse, head AS e FROM graph UNION ALL SELECT DISTINCT rel, kind, true, tail_id FROM graph WHERE kind = 'cat')
   SELECT rel, kind, inverse FROM t JOIN places ON e = entity_id GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT count(*) FROM t)"""
 
@@ -192,7 +192,7 @@ SQL_COVER = f"""WITH graph AS ({X.sql_graph(*COVER_RELS)}), t AS (SELECT {X.sql_
 @query("covering_relations", SQL_COVER)
 def covering_relations(spark, d):
     customers = table(spark, d, "customer").select(X.entity("c_custkey", "customer").alias("entity_id"))
-    suppliers = table(spark, d, "supplier").filter("s_suppkey % 50 = 0").select(X.entity("s_suppkey", "supplier").alias("entity_id"))
+    suppliers = table(spark, d, "supplier").filter("s_acctbal > 5000").select(X.entity("s_suppkey", "supplier").alias("entity_id"))
     return H.covering_relations(customers.unionByName(suppliers), X.graph(spark, d, *COVER_RELS))
 
 

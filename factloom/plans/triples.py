@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators import triples as T
 from factloom.plans import fixtures as X
 from factloom.plans.registry import query, r4, scratch, sql_md5int, sql_r4, table
+from factloom.session import pin
 from factloom.sources import io
 
 SQL_SEGMENT = "nullif(c_mktsegment, 'BUILDING')"
@@ -96,7 +97,7 @@ def named(spark, d) -> DataFrame:
 
 def encoded(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     triples = named(spark, d)
-    entities, relations = T.entity_dictionary(triples), T.relation_dictionary(triples)
+    entities, relations = pin(T.entity_dictionary(triples)), pin(T.relation_dictionary(triples))
     return T.encode_triples(triples, entities, relations), entities, relations
 
 

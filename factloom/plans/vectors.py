@@ -13,6 +13,7 @@ from factloom.operators import triples as T
 from factloom.plans import fixtures as X
 from factloom.plans.numeric import DIM, rels, sql_spread, sql_vector, sql_weight, vector, weight
 from factloom.plans.registry import query, r4, scratch, sql_md5int, sql_r4
+from factloom.session import pin
 
 PART = ("c_acctbal", "c_mktsegment", "c_nationkey", "o_custkey", "o_totalprice", "o_orderstatus", "n_regionkey")
 SQL_KEY = sql_md5int("head", "rel", "coalesce(tail_id, round(tail_val * 100)::BIGINT)")
@@ -46,8 +47,8 @@ def corruption_candidates(spark, d):
   FROM draws JOIN cand USING (rel, position)""",
 )
 def corrupt_triples(spark, d):
-    pos = positives(spark, d)
-    return S.corrupt_triples(pos, S.corruption_candidates(pos), k=3, seed=11)
+    pos = pin(positives(spark, d))
+    return S.corrupt_triples(pos, pin(S.corruption_candidates(pos)), k=3, seed=11)
 
 
 # --- scores under vectors derived from the ids -------------------------------------------------
