@@ -94,9 +94,10 @@ def sample_skew(value: Column) -> Column:
 
 
 def numeric_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``(keys…, SUM, MEAN, MIN, MAX, STD, SKEW)`` in one partial-and-final aggregate."""
+    """``(keys…, COUNT, SUM, MEAN, MIN, MAX, STD, SKEW)`` in one partial-and-final aggregate."""
     v = F.col(value)
     return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("COUNT"),
         F.sum(v).alias("SUM"),
         F.avg(v).alias("MEAN"),
         F.min(v).alias("MIN"),
@@ -134,9 +135,7 @@ def _long(rows: DataFrame, keys: Sequence[str], name: Column, nums: Sequence[str
 def numeric_child_features(links: DataFrame, multi_num: Sequence[str]) -> DataFrame:
     """Depth 1, long: statistics of every multi-valued numeric relation."""
     stats = numeric_stats(of_columns(links, multi_num), ["head", "col"], "tail_val")
-    counts = of_columns(links, multi_num).groupBy("head", "col").agg(F.count(F.lit(1)).alias("COUNT"))
-    joined = stats.join(counts, ["head", "col"])
-    return _long(joined, ["head"], F.col("col"), [*NUMERIC_STATS, "COUNT"], [])
+    return _long(stats, ["head"], F.col("col"), [*NUMERIC_STATS, "COUNT"], [])
 
 
 def categorical_child_features(links: DataFrame, multi_cat: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from factloom.operators import deep as D
 from factloom.operators import triples as T
 from factloom.plans import fixtures as X
 from factloom.plans.registry import query, r4, scratch, sql_r4, table
+from factloom.session import pin
 
 N_CAT = len(X.RELATIONS) - X.N_NUMERIC
 RELS = (
@@ -89,8 +90,10 @@ def links(spark, d, *rels):
     return D.relation_tables(X.graph(spark, d, *(rels or RELS)), X.N_NUMERIC, N_CAT)
 
 
-def shapes(spark, d):
-    return D.catalogue(D.functional_relations(links(spark, d)))
+def shaped(spark, d):
+    """Links over a stored graph, and the shapes of its relations."""
+    stored = D.relation_tables(pin(X.graph(spark, d, *RELS)), X.N_NUMERIC, N_CAT)
+    return stored, D.catalogue(D.functional_relations(stored))
 
 
 def rounded(features):
@@ -109,7 +112,8 @@ def functional_relations(spark, d):
 
 @query("direct_features", f"{SQL_LINKS} {sql_long('direct')}")
 def direct_features(spark, d):
-    return rounded(D.direct_features(links(spark, d), shapes(spark, d).functional))
+    stored, cat = shaped(spark, d)
+    return rounded(D.direct_features(stored, cat.functional))
 
 
 @query(
@@ -117,18 +121,20 @@ def direct_features(spark, d):
     f"{SQL_LINKS}, {SQL_CHILDREN} SELECT head, feature, {sql_r4('num')} AS num FROM children WHERE feature LIKE '%(N%'",
 )
 def numeric_child_features(spark, d):
-    return rounded(D.numeric_child_features(links(spark, d), shapes(spark, d).multi_num)).drop("cat")
+    stored, cat = shaped(spark, d)
+    return rounded(D.numeric_child_features(stored, cat.multi_num)).drop("cat")
 
 
 @query("categorical_child_features", f"{SQL_LINKS}, {SQL_CHILDREN} {sql_long('children')} WHERE feature LIKE '%(C%'")
 def categorical_child_features(spark, d):
-    return rounded(D.categorical_child_features(links(spark, d), shapes(spark, d).multi_cat))
+    stored, cat = shaped(spark, d)
+    return rounded(D.categorical_child_features(stored, cat.multi_cat))
 
 
 @query("two_hop_features", f"{SQL_LINKS}, {sql_through('direct', 'hop2')} {sql_long('hop2')}")
 def two_hop_features(spark, d):
-    all_links = links(spark, d)
-    return rounded(D.two_hop_features(all_links, all_links, shapes(spark, d)))
+    stored, cat = shaped(spark, d)
+    return rounded(D.two_hop_features(stored, stored, cat))
 
 
 SQL_CUSTOMERS = f"SELECT {X.sql_entity('c_custkey', 'customer')} AS entity_id FROM customer"
@@ -143,9 +149,8 @@ def customers(spark, d):
     f"{SQL_LINKS}, {SQL_CHILDREN}, {sql_through('children', 'hop3')} {sql_long('hop3')} WHERE head IN ({SQL_CUSTOMERS})",
 )
 def three_hop_features(spark, d):
-    all_links = links(spark, d)
-    scoped = D.target_scope(all_links, customers(spark, d))
-    return rounded(D.three_hop_features(scoped, all_links, shapes(spark, d)))
+    stored, cat = shaped(spark, d)
+    return rounded(D.three_hop_features(D.target_scope(stored, customers(spark, d)), stored, cat))
 
 
 @query("target_scope", f"{SQL_LINKS} SELECT * FROM links WHERE head IN ({SQL_CUSTOMERS})")
@@ -166,7 +171,8 @@ _ORD, _PRICE, _STATUS = col_name("o_custkey", True), col_name("o_totalprice"), c
   FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
 )
 def deep_features_depth2(spark, d):
-    matrix = D.deep_features(X.graph(spark, d, *FLAG_RELS), customers(spark, d), 2, X.N_NUMERIC, N_CAT)
+    triples = pin(X.graph(spark, d, *FLAG_RELS))
+    matrix = D.deep_features(triples, customers(spark, d), 2, X.N_NUMERIC, N_CAT)
     col = lambda name: F.col(f"`{name}`")
     return matrix.select(
         "head",
@@ -280,16 +286,16 @@ def drop_constant_features(spark, d):
     + CASE WHEN depth >= 3 THEN mc * (6 * kn + kc + kc * 10) ELSE 0 END)::BIGINT AS n_features FROM k, range(4) t(depth)""",
 )
 def feature_count(spark, d):
-    cat = shapes(spark, d)
+    _, cat = shaped(spark, d)
     return spark.createDataFrame([(i, D.feature_count(cat, i)) for i in range(4)], "depth long, n_features long")
 
 
 @query("feature_registry")
 def feature_registry(spark, d):
     """Features of two depths stored and registered, then the depth-1 matrix looked up and read."""
-    root = scratch(spark, "features")
+    root, triples = scratch(spark, "features"), pin(X.graph(spark, d, *FLAG_RELS))
     for depth in (0, 1):
-        matrix = D.deep_features(X.graph(spark, d, *FLAG_RELS), customers(spark, d), depth, X.N_NUMERIC, N_CAT)
+        matrix = D.deep_features(triples, customers(spark, d), depth, X.N_NUMERIC, N_CAT)
         path = f"{root}/depth={depth}"
         matrix.write.parquet(path)
         D.register_features(
