@@ -27,11 +27,11 @@ def relation_tables(triples: DataFrame, n_numeric: int, n_categorical: int) -> D
         col.alias("col"), F.col(head).alias("head"), F.col(tail).alias("tail_id")
     )
     forward = F.when(F.col("kind") == "num", name("N", F.col("rel"))).otherwise(name("C", k))
-    backward = link(name("C", k + n_categorical), "tail_id", "head")
-    both = F.array(link(forward, "head", "tail_id"), F.when(F.col("kind") == "cat", backward))
-    return triples.select("kind", "tail_val", F.explode(F.array_compact(both)).alias("l")).select(
-        "l.col", "kind", "l.head", "l.tail_id", "tail_val"
-    )
+    backward = name("C", k + n_categorical)
+    both = F.array(link(forward, "head", "tail_id"), link(backward, "tail_id", "head"))
+    # a numeric triple has no tail entity, so its reverse has no head
+    links = triples.select("kind", "tail_val", F.inline(both)).filter("head is not null")
+    return links.select("col", "kind", "head", "tail_id", "tail_val")
 
 
 def functional_relations(links: DataFrame) -> DataFrame:

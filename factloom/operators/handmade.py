@@ -128,10 +128,9 @@ def covering_relations(targets: DataFrame, triples: DataFrame, share: float = 0.
     weights = targets.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_rows"))
     total = targets.agg(F.count(F.lit(1)).alias("_total")).withColumn("_one", F.lit(1))
     place = lambda id_, inverse: F.struct(F.col(id_).alias("entity_id"), F.lit(inverse).alias("inverse"))
-    places = F.array_compact(
-        F.array(place("head", False), F.when(F.col("kind") == "cat", place("tail_id", True)))
-    )
-    present = triples.select("rel", "kind", F.inline(places)).join(
+    # a numeric triple has no tail entity and so no inverse place
+    places = F.inline(F.array(place("head", False), place("tail_id", True)))
+    present = triples.select("rel", "kind", places).filter("entity_id is not null").join(
         targets.select("entity_id").distinct(), "entity_id", "left_semi"
     )
     return (
