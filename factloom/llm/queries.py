@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from factloom.llm.bpe import op2_bpe
+from factloom.llm.chat_format import op6_chat_format
 from factloom.llm.quality_rules import op9_quality_rules
 from factloom.llm.toxicity import op10_toxicity
 from factloom.session import tune
@@ -14,6 +16,8 @@ def _tuned(fn):
 QUERIES = {
     fn.__name__: _tuned(fn)
     for fn in (
+        op2_bpe,
+        op6_chat_format,
         op9_quality_rules,
         op10_toxicity,
     )
