@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factloom.llm.bpe import op2_bpe
 from factloom.llm.chat_format import op6_chat_format
+from factloom.llm.minhash_dedup import op1_minhash_dedup
 from factloom.llm.quality_rules import op9_quality_rules
 from factloom.llm.toxicity import op10_toxicity
 from factloom.session import tune
@@ -16,6 +17,7 @@ def _tuned(fn):
 QUERIES = {
     fn.__name__: _tuned(fn)
     for fn in (
+        op1_minhash_dedup,
         op2_bpe,
         op6_chat_format,
         op9_quality_rules,

@@ -106,8 +106,8 @@ def shingle_hashes(data: bytes, size: int) -> np.ndarray:
     if n == 0:
         return words
     if n < size:
-        total = MULTIPLIERS[200 + n] + np.sum(words * MULTIPLIERS[:n], dtype=np.uint64)
-        return mix(np.array([total], dtype=np.uint64))
+        total = np.sum(words * MULTIPLIERS[:n], dtype=np.uint64, keepdims=True)
+        return mix(total + MULTIPLIERS[200 + n : 201 + n])
     total = words[: n - size + 1] * MULTIPLIERS[0]
     for k in range(1, size):
         total = total + words[k : n - size + 1 + k] * MULTIPLIERS[k]
