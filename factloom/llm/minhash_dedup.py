@@ -9,9 +9,10 @@ No group of candidates is ever paired with itself:
 
 1. equal sets are one representative (smallest id) from the start;
 2. in each band group every member is compared with the group's smallest id only;
-3. once those links have formed components, only members outside their group's largest component
-   are compared with the members of other components there. Afterwards every two members of a
-   group are known to be linked through the graph or have been compared, so no link is lost.
+3. once those links have formed components, the members of groups that still hold several are
+   joined on their rarest shingles, which every pair at the threshold must share, and only
+   across components. Afterwards every two members of a group are linked through the graph,
+   have been compared or cannot reach the threshold, so no link is lost.
 
 A pair of similarity 0.8 misses all ``BANDS`` bands with probability 3e-6, one of 0.85 with 7e-9.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
@@ -168,6 +169,63 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return pin(both.mapInArrow(run, "a long, b long"))
 
 
+def sharing_rare(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs of ``members(doc, comp)`` from different components that can still reach the threshold.
+
+    Two sets of that similarity share one of the ``n - ceil(t * n) + 1`` rarest shingles of each, with
+    rarity counted among the members, so texts that share only widespread passages never meet.
+    """
+    members = pin(members)
+    small_batches(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(
+        broadcast_if_small(members.select("doc"), 64), "doc", "left_semi"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = [shingle_hashes((t or "").encode(), shingle).view(np.int64) for t in batch.column(1).to_pylist()]
+                sizes = [len(x) for x in sets]
+                doc = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), sizes)
+                n = np.repeat(np.array(sizes, dtype=np.int64), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc), pa.array(n), pa.array(np.concatenate(sets))], ["doc", "n", "shingle"]
+                )
+
+    made = texts.dropDuplicates(["doc"]).mapInArrow(run, "doc long, n long, shingle long")
+    shared = made.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    needed = F.floor((percent * F.col("n") + 99) / 100)
+    place = Window.partitionBy("doc").orderBy("df", "shingle")
+    prefix = (
+        made.join(shared, "shingle")
+        .select(
+            "doc", "n", "shingle", F.row_number().over(place).alias("place"),
+            F.count("*").over(Window.partitionBy("doc")).alias("n_shared"),
+        )  # Shingles of one document only come first in the order and match nothing.
+        .filter(F.col("place") + F.col("n") - F.col("n_shared") <= F.col("n") - needed + 1)
+        .join(members, "doc")
+    )
+    prefix = pin(prefix.select("shingle", "doc", "n", "comp"))
+    largest = (
+        prefix.groupBy("shingle", "comp")
+        .agg(F.count("*").alias("c"))
+        .groupBy("shingle")
+        .agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("n_comps"))
+        .filter("n_comps > 1")
+    )
+    mixed = prefix.join(largest, "shingle")
+    minor = mixed.filter("comp <> major").select(
+        "shingle", F.col("doc").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx")
+    )
+    others = mixed.select("shingle", F.col("doc").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
+    return (
+        minor.join(others, "shingle")
+        .filter(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``."""
     sets = pin(sketches(docs, shingle))
@@ -195,16 +253,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("n_comps"))
         .filter("n_comps > 1")
     )
-    open_groups = placed.join(largest, "key")
-    minor = open_groups.filter("comp <> major").select("key", F.col("doc").alias("x"), F.col("comp").alias("cx"))
-    others = open_groups.select("key", F.col("doc").alias("y"), F.col("comp").alias("cy"))
-    rest = (
-        minor.join(others, "key")
-        .filter("cx <> cy")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    undecided = placed.join(largest, "key").select("doc", "comp").distinct()
+    rest = sharing_rare(undecided, docs, shingle, percent).join(stars, ["a", "b"], "left_anti")
     second = verified(likely(rest, reps, percent), docs, shingle, percent)
     # Sets with one id (rows that share it) are one document, so ids link their representatives too.
     shared = sets.filter("n > 0").join(same.select(*identity, "rep"), identity).filter("doc_id is not null")
