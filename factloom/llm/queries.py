@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factloom.llm.bpe import op2_bpe
 from factloom.llm.chat_format import op6_chat_format
+from factloom.llm import decontamination, license_scan
 from factloom.llm.minhash_dedup import op1_minhash_dedup
 from factloom.llm.quality_rules import op9_quality_rules
 from factloom.llm.toxicity import op10_toxicity
@@ -19,9 +20,14 @@ QUERIES = {
     for fn in (
         op1_minhash_dedup,
         op2_bpe,
+        decontamination.op3_decontamination,
         op6_chat_format,
+        license_scan.op8_license_scan,
         op9_quality_rules,
         op10_toxicity,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": decontamination.SQL,
+    "op8_license_scan": license_scan.SQL,
+}
