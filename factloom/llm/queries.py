@@ -6,6 +6,7 @@ from factloom.llm.bpe import op2_bpe
 from factloom.llm.chat_format import op6_chat_format
 from factloom.llm import decontamination, license_scan
 from factloom.llm.minhash_dedup import op1_minhash_dedup
+from factloom.llm.pii import op5_pii
 from factloom.llm.quality_rules import op9_quality_rules
 from factloom.llm.toxicity import op10_toxicity
 from factloom.session import tune
@@ -21,6 +22,7 @@ QUERIES = {
         op1_minhash_dedup,
         op2_bpe,
         decontamination.op3_decontamination,
+        op5_pii,
         op6_chat_format,
         license_scan.op8_license_scan,
         op9_quality_rules,
