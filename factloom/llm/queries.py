@@ -7,6 +7,7 @@ from factloom.llm.chat_format import op6_chat_format
 from factloom.llm import decontamination, license_scan
 from factloom.llm.minhash_dedup import op1_minhash_dedup
 from factloom.llm.pii import op5_pii
+from factloom.llm.quality_classifier import op4_quality_classifier
 from factloom.llm.quality_rules import op9_quality_rules
 from factloom.llm.toxicity import op10_toxicity
 from factloom.session import tune
@@ -22,6 +23,7 @@ QUERIES = {
         op1_minhash_dedup,
         op2_bpe,
         decontamination.op3_decontamination,
+        op4_quality_classifier,
         op5_pii,
         op6_chat_format,
         license_scan.op8_license_scan,
