@@ -36,7 +36,7 @@ def quantile_position(x: Column, q: Column, at_most: Column, below: Column) -> C
     the mean of the rank read from below and from above.
     """
     m = F.size(q)
-    step = F.lit(1.0) / (m - 1)
+    step = F.lit(1.0) / F.greatest(m - 1, F.lit(1))
     item = lambda i: F.get(q, i)  # noqa: E731  (null outside the array)
     upper = (
         F.when(at_most == 0, 0.0)
@@ -64,7 +64,7 @@ def apply_quantiles(triples: DataFrame, fitted: DataFrame, out: str = "x") -> Da
 
 def fit_min_max(triples: DataFrame) -> DataFrame:
     return (
-        triples.filter("kind = 'num'")
+        triples.filter("kind = 'num' and not isnan(tail_val)")
         .groupBy("rel")
         .agg(F.min("tail_val").alias("low"), F.max("tail_val").alias("high"))
     )

@@ -152,7 +152,7 @@ def exact_quantiles(
         whole = df.withColumn("_all", F.lit(0))
         return exact_quantiles(whole, ["_all"], value, probs, min_rows).drop("_all")
     counts = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )

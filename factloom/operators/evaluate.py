@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor
@@ -193,16 +193,18 @@ GRID = {"maxDepth": (2, 4, 6, 12), "minInstancesPerNode": (4, 6, 10, 20)}
 
 
 def _prepared(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list]:
-    """Numeric columns with missing flags, and the stages that impute and assemble them."""
+    """Numeric columns, 0 where missing, with missing flags, and the stage that assembles them.
+
+    A constant needs no pass over the training rows and holds for columns that are missing throughout;
+    the flag lets a tree part missing rows from zeros.
+    """
     plain = [f"_f{i}" for i in range(len(columns))]
-    values = [F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, plain)]
-    flags = [F.isnull(F.col(f"`{c}`")).cast("double").alias(f"{n}_missing") for c, n in zip(columns, plain)]
+    double = [F.col(f"`{c}`").cast("double") for c in columns]
+    values = [F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)).alias(n) for x, n in zip(double, plain)]
+    flags = [(x.isNull() | F.isnan(x)).cast("double").alias(f"{n}_missing") for x, n in zip(double, plain)]
     keep = [F.col(c) for c in rows.columns if c in ("repeat", "fold", "target", "entity_id")]
-    imputer = Imputer(strategy="mean", inputCols=plain, outputCols=[f"{n}_in" for n in plain])
-    assembler = VectorAssembler(
-        inputCols=[f"{n}_in" for n in plain] + [f"{n}_missing" for n in plain], outputCol="features"
-    )
-    return rows.select(*keep, *values, *flags), [imputer, assembler]
+    assembler = VectorAssembler(inputCols=[*plain, *[f"{n}_missing" for n in plain]], outputCol="features")
+    return rows.select(*keep, *values, *flags), [assembler]
 
 
 def _estimator(is_regression: bool, seed: int, max_iter: int):

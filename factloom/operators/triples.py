@@ -87,7 +87,8 @@ def edge_table(df: DataFrame, spec: TableSpec, naming: str = "domain") -> DataFr
     numeric = rel.isin(list(spec.edge_numeric)) if spec.edge_numeric else F.lit(False)
     if naming == "domain" and spec.edge_domains:
         domains = F.create_map(*[F.lit(x) for pair in spec.edge_domains.items() for x in pair])
-        named = F.concat(domains[rel], F.lit(":"), tail.cast("string"))
+        # A relation without a declared domain is a domain of its own.
+        named = F.concat(F.coalesce(domains[rel], rel), F.lit(":"), tail.cast("string"))
     elif naming == "reference":
         named = F.concat(rel, tail.cast("string"))
     else:
@@ -113,10 +114,11 @@ def classify_relations(triples: DataFrame, categorical: Sequence[str]) -> DataFr
 def fill_missing_tails(
     triples: DataFrame, missing: str = "per_relation", keep_null_numeric: bool = False
 ) -> DataFrame:
+    """Missing categories by the chosen rule; numbers that are null or NaN are dropped or null."""
     cat = F.col("kind") == "cat"
     filled = triples.withColumn(
         "tail", F.when(cat, missing_tail(F.col("tail"), F.col("rel"), missing))
-    )
+    ).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     keep = F.lit(keep_null_numeric) | F.col("value").isNotNull()
     return filled.filter((cat & F.col("tail").isNotNull()) | (~cat & keep))
 
@@ -227,7 +229,8 @@ def shuffle_triples(encoded: DataFrame, seed: int) -> DataFrame:
     """Seeded random permutation, reproducible whatever the input order."""
     # copies of a triple and values of one head hash apart, so no key gathers many rows
     numbered = number_copies(encoded, "_copy")
-    value = F.round(F.col("tail_val") * 1_000_000).cast("long")
+    # numbers beyond the range of a long, and NaN, count as null here and are told apart by the last sort key
+    value = F.round(F.col("tail_val") * 1_000_000).try_cast("long")
     keyed = numbered.withColumn("shuffle_key", md5int(F.lit(seed), "head", "rel", "tail_id", value, "_copy"))
     return keyed.orderBy("shuffle_key", "head", "rel", "tail_id", "tail_val").drop("_copy")
 

@@ -13,12 +13,16 @@ from factloom.session import pin
 DIM = 4
 NUM_RELS = [r for r in X.RELATIONS if X.RELATIONS[r] < X.N_NUMERIC]
 SQL_NUM = f"WITH num AS ({X.sql_graph(*NUM_RELS)})"
+# One knot per row at most: a relation of fewer than 20 rows has as many quantiles as rows.
 SQL_QUANTILES = (
-    f"{SQL_NUM}, fitted AS (SELECT rel, quantile_cont(tail_val, [{', '.join(f'{i}/19.0' for i in range(20))}]) AS q "
-    "FROM num GROUP BY rel)"
+    f"{SQL_NUM}, sorted AS (SELECT rel, list(tail_val ORDER BY tail_val) AS s, least(20, count(tail_val)) AS m "
+    "FROM num WHERE tail_val IS NOT NULL AND NOT isnan(tail_val) GROUP BY rel), "
+    "knots AS (SELECT rel, s, i, i * (len(s) - 1) / greatest(m - 1, 1)::DOUBLE AS pos FROM (SELECT *, unnest(range(m)) AS i FROM sorted)), "
+    "points AS (SELECT rel, i, s[floor(pos)::BIGINT + 1] + (s[ceil(pos)::BIGINT + 1] - s[floor(pos)::BIGINT + 1]) * (pos - floor(pos)) AS v FROM knots), "
+    "fitted AS (SELECT rel, list(v ORDER BY i) AS q FROM points GROUP BY rel)"
 )
-SQL_POSITION = """CASE WHEN tail_val <= q[1] THEN 0.0 WHEN tail_val >= q[20] THEN 1.0 ELSE
-  ((le - 1 + (tail_val - q[le]) / (q[le + 1] - q[le])) / 19.0 + (lt - (q[lt + 1] - tail_val) / (q[lt + 1] - q[lt])) / 19.0) / 2 END"""
+SQL_POSITION = """CASE WHEN tail_val <= q[1] THEN 0.0 WHEN tail_val >= q[len(q)] THEN 1.0 ELSE
+  ((le - 1 + (tail_val - q[le]) / (q[le + 1] - q[le])) / (len(q) - 1.0) + (lt - (q[lt + 1] - tail_val) / (q[lt + 1] - q[lt])) / (len(q) - 1.0)) / 2 END"""
 SQL_SCALED = f"""{SQL_QUANTILES}, counted AS (SELECT num.*, q, len(list_filter(q, lambda v: v <= tail_val)) AS le,
   len(list_filter(q, lambda v: v < tail_val)) AS lt FROM num JOIN fitted USING (rel)),
   scaled AS (SELECT head, rel, tail_val, {SQL_POSITION} AS x FROM counted)"""
@@ -66,11 +70,12 @@ def sql_spread(vec: str, dim: int = DIM) -> str:
 
 @query(
     "fit_quantiles",
-    f"{SQL_QUANTILES} SELECT rel, " + ", ".join(f"{sql_r4(f'q[{i + 1}]')} AS q{i}" for i in range(20)) + " FROM fitted",
+    f"{SQL_QUANTILES} SELECT rel, i::INTEGER AS prob_index, {sql_r4('v')} AS quantile FROM points",
 )
 def fit_quantiles(spark, d):
     fitted = N.fit_quantiles(numeric(spark, d))
-    return fitted.select("rel", *[r4(F.col("quantiles")[i]).alias(f"q{i}") for i in range(20)])
+    points = fitted.select("rel", F.posexplode("quantiles").alias("prob_index", "quantile"))
+    return points.select("rel", "prob_index", r4("quantile").alias("quantile"))
 
 
 @query("apply_quantiles", f"{SQL_SCALED} SELECT head, rel, tail_val, {sql_r4('x')} AS x FROM scaled")

@@ -251,3 +251,34 @@ def test_encoding_marks_other_and_missing_values(spark):
     out = D.encode_top_n(df, ["f"], 2)
     assert out.columns == ["head", "f = 1", "f = 2", "f is unknown"]
     assert [tuple(r)[1:] for r in out.orderBy("head").collect()] == [(1, 0, 0)] * 3 + [(0, 1, 0)] * 2 + [(0, 0, 1)] * 2
+
+
+def test_nan_is_a_missing_number(spark):
+    named = spark.createDataFrame(
+        [("a", "x", "num", None, 1.0), ("b", "x", "num", None, float("nan")), ("c", "x", "num", None, 3.0)],
+        "head string, rel string, kind string, tail string, value double",
+    )
+    assert sorted(r.head for r in T.fill_missing_tails(named).collect()) == ["a", "c"]
+    coded = spark.createDataFrame(
+        [(1, 0, "num", None, 1.0), (2, 0, "num", None, float("nan")), (3, 0, "num", None, 3.0)],
+        "head long, rel int, kind string, tail_id long, tail_val double",
+    )
+    from factloom.functions import numeric as N
+
+    scaled = {r["head"]: r["x"] for r in N.scale_values(coded, "min_max").collect()}
+    assert scaled[1] == 0.0 and scaled[3] == 1.0
+    assert N.fit_quantiles(coded).first()["quantiles"] == [1.0, 3.0]
+
+
+def test_shuffle_takes_any_number(spark):
+    coded = spark.createDataFrame(
+        [(1, 0, "num", None, 1e300), (2, 0, "num", None, float("nan")), (3, 0, "num", None, -9.9e12)],
+        "head long, rel int, kind string, tail_id long, tail_val double",
+    )
+    assert {r["head"] for r in T.shuffle_triples(coded, 1).collect()} == {1, 2, 3}
+
+
+def test_undeclared_edge_relation_keeps_its_tails(spark):
+    edges = spark.createDataFrame([("a", "knows", "b"), ("a", "owns", "c")], "h string, r string, t string")
+    spec = T.TableSpec("h", "person", rel_col="r", tail_col="t", edge_domains={"knows": "person"})
+    assert {r["tail"] for r in T.edge_table(edges, spec).collect()} == {"person:b", "owns:c"}
