@@ -205,7 +205,7 @@ def sharing_rare(members: DataFrame, docs: DataFrame, shingle: int, percent: int
         .filter(F.col("place") + F.col("n") - F.col("n_shared") <= F.col("n") - needed + 1)
         .join(members, "doc")
     )
-    prefix = pin(prefix.select("shingle", "doc", "n", "comp"))
+    prefix = pin(prefix.select("shingle", "doc", "n", "n_shared", "comp"))
     largest = (
         prefix.groupBy("shingle", "comp")
         .agg(F.count("*").alias("c"))
@@ -215,12 +215,15 @@ def sharing_rare(members: DataFrame, docs: DataFrame, shingle: int, percent: int
     )
     mixed = prefix.join(largest, "shingle")
     minor = mixed.filter("comp <> major").select(
-        "shingle", F.col("doc").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx")
+        "shingle", *[F.col(a).alias(b) for a, b in (("doc", "x"), ("comp", "cx"), ("n", "nx"), ("n_shared", "sx"))]
     )
-    others = mixed.select("shingle", F.col("doc").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
+    others = mixed.select(
+        "shingle", *[F.col(a).alias(b) for a, b in (("doc", "y"), ("comp", "cy"), ("n", "ny"), ("n_shared", "sy"))]
+    )
+    # What a document has alone is in no intersection, so that holds at most the smaller shared part.
     return (
         minor.join(others, "shingle")
-        .filter(f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+        .filter(f"cx <> cy and 100 * least(sx, sy) >= {percent} * (nx + ny - least(sx, sy))")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
