@@ -17,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import pin
 from factloom.functions import vectors as V
 from factloom.functions.hashing import md5int
 from factloom.functions.ordered import exact_quantiles, running_totals
@@ -259,10 +260,10 @@ def cv_boosted(
 ) -> DataFrame:
     """Out-of-fold predictions of boosted trees: ``(entity_id, repeat, fold, target, prediction, score)``.
 
-    Missing features are imputed with the training mean and flagged, as MLlib trees take no nulls.
+    Missing features are 0 and flagged, as MLlib trees take no nulls.
     """
     prepared, stages = _prepared(rows, columns)
-    prepared = prepared.persist()
+    prepared = pin(prepared)
     parts = []
     for r in prepared.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect():
         same = F.col("repeat") == r["repeat"]
