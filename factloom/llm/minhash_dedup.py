@@ -38,6 +38,7 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 EMPTY = 65535
+PARITY_BITS = 1024
 # Standard errors by which an estimate may fall short of the threshold.
 SLACK = 6.0
 # Of values within one cell of the compressed scale: mean of 2 ** floor(log2 x) / x.
@@ -85,6 +86,12 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return (same - expected) / np.maximum(used.sum(axis=1) - expected, 1)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY_BITS`` hash classes, whether the set holds an odd number; as 64-bit integers."""
+    counts = np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, n, f1, f2, regs``: size, two fingerprints and sketch of each set."""
 
@@ -173,7 +180,8 @@ def sharing_rare(members: DataFrame, docs: DataFrame, shingle: int, percent: int
     """Pairs of ``members(doc, comp)`` from different components that can still reach the threshold.
 
     Two sets of that similarity share one of the ``n - ceil(t * n) + 1`` rarest shingles of each, with
-    rarity counted among the members, so texts that share only widespread passages never meet.
+    rarity counted among the members, so texts that share only widespread passages never meet. Where many
+    do meet, the parities of their sets bound the difference from below and end hopeless pairs inside the join.
     """
     members = pin(members)
     small_batches(docs)
@@ -184,15 +192,14 @@ def sharing_rare(members: DataFrame, docs: DataFrame, shingle: int, percent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sets = [shingle_hashes((t or "").encode(), shingle).view(np.int64) for t in batch.column(1).to_pylist()]
-                sizes = [len(x) for x in sets]
-                doc = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), sizes)
-                n = np.repeat(np.array(sizes, dtype=np.int64), sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(n), pa.array(np.concatenate(sets))], ["doc", "n", "shingle"]
-                )
+                sets = [shingle_hashes((t or "").encode(), shingle) for t in batch.column(1).to_pylist()]
+                columns = [batch.column(0), pa.array([x.view(np.int64) for x in sets]), pa.array(map(parity, sets))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "shingles", "parity"])
 
-    made = texts.dropDuplicates(["doc"]).mapInArrow(run, "doc long, n long, shingle long")
+    per_doc = pin(
+        texts.dropDuplicates(["doc"]).mapInArrow(run, "doc long, shingles array<long>, parity array<long>")
+    )
+    made = per_doc.select("doc", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     shared = made.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     needed = F.floor((percent * F.col("n") + 99) / 100)
     place = Window.partitionBy("doc").orderBy("df", "shingle")
@@ -204,8 +211,9 @@ def sharing_rare(members: DataFrame, docs: DataFrame, shingle: int, percent: int
         )  # Shingles of one document only come first in the order and match nothing.
         .filter(F.col("place") + F.col("n") - F.col("n_shared") <= F.col("n") - needed + 1)
         .join(members, "doc")
+        .join(per_doc.select("doc", "parity"), "doc")
     )
-    prefix = pin(prefix.select("shingle", "doc", "n", "n_shared", "comp"))
+    prefix = pin(prefix.select("shingle", "doc", "n", "n_shared", "comp", "parity"))
     largest = (
         prefix.groupBy("shingle", "comp")
         .agg(F.count("*").alias("c"))
@@ -214,17 +222,19 @@ def sharing_rare(members: DataFrame, docs: DataFrame, shingle: int, percent: int
         .filter("n_comps > 1")
     )
     mixed = prefix.join(largest, "shingle")
-    minor = mixed.filter("comp <> major").select(
-        "shingle", *[F.col(a).alias(b) for a, b in (("doc", "x"), ("comp", "cx"), ("n", "nx"), ("n_shared", "sx"))]
-    )
-    others = mixed.select(
-        "shingle", *[F.col(a).alias(b) for a, b in (("doc", "y"), ("comp", "cy"), ("n", "ny"), ("n_shared", "sy"))]
-    )
-    # What a document has alone is in no intersection, so that holds at most the smaller shared part.
+    side = lambda c: [F.col(a).alias(f"{c}_{a}") for a in ("doc", "comp", "n", "n_shared", "parity")]
+    minor = mixed.filter("comp <> major").select("shingle", *side("x"))
+    others = mixed.select("shingle", *side("y"))
+    # What a document has alone is in no intersection, so that holds at most the smaller shared part;
+    # a bit that differs between two parities stands for at least one shingle that only one set has.
+    common = F.least("x_n_shared", "y_n_shared")
+    total = F.col("x_n") + F.col("y_n")
+    bits = [F.bit_count(F.get("x_parity", k).bitwiseXOR(F.get("y_parity", k))) for k in range(PARITY_BITS // 64)]
+    able = (100 * common >= percent * (total - common)) & ((100 + percent) * sum(bits) <= (100 - percent) * total)
     return (
         minor.join(others, "shingle")
-        .filter(f"cx <> cy and 100 * least(sx, sy) >= {percent} * (nx + ny - least(sx, sy))")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .filter((F.col("x_comp") != F.col("y_comp")) & able)
+        .select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"))
         .distinct()
     )
 
