@@ -182,7 +182,7 @@ def inverse_count(spark, d):
     return H.inverse_count(part_targets(spark, d), X.graph(spark, d, "contains"), {"n_orders": X.RELATIONS["contains"]})
 
 
-COVER_RELS = ("c_acctbal", "c_mktsegment", "c_nationkey", "o_custkey", "s_acctbal", "s_nationkey")
+COVER_RELS = tuple(X.RELATIONS)
 SQL_COVER = f"""WITH graph AS ({X.sql_graph(*COVER_RELS)}), t AS (SELECT {X.sql_entity('c_custkey', 'customer')} AS entity_id FROM customer
     UNION ALL SELECT {X.sql_entity('s_suppkey', 'supplier')} FROM supplier WHERE s_acctbal > 5000),
   places AS (SELECT DISTINCT rel, kind, false AS inverse, head AS e FROM graph UNION ALL SELECT DISTINCT rel, kind, true, tail_id FROM graph WHERE kind = 'cat')
