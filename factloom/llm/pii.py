@@ -1,11 +1,13 @@
 r"""Personal data: pattern spans, and terms of the corpus that give protected values away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each value found is a protected
-entity. A term (a word of four letters or more) that keeps company with an entity identifies it as
-well as the value does: with document counts over the whole corpus, term ``t`` discloses entity ``e`` if
-``n(e, t) >= MIN_SUPPORT``, ``P(e | t) = n(e, t) / n(t) >= MIN_POSTERIOR`` and the pointwise information
-``log2(P(e | t) / P(e)) >= MIN_BITS``. Such terms are spans of kind ``term`` wherever they occur, and
-``sanitised`` replaces every span by the general name of its kind.
+entity, from its first text on. A term (a word, or words joined by hyphens, of any length; case does not
+matter) that keeps company with an entity identifies it as well as the value does. With counts of
+distinct texts over the whole corpus, so that copies count once, term ``t`` discloses entity ``e`` if the smoothed
+posterior ``n(e, t) / n(t) * s / (s + SMOOTHING) >= MIN_POSTERIOR`` and ``t`` raises the odds of ``e`` by
+``MIN_BITS`` bits. The evidence ``s`` is 1 for each text where ``t`` stands within ``NEAR`` characters of
+``e`` and ``FAR_WEIGHT`` for each other text that holds both. Such terms are spans of kind ``term`` wherever
+they occur, and ``sanitised`` replaces every span by the general name of its kind.
 
 DataFrame functions only. A position is the running sum of the lengths of gaps and matches
 before it, summed over one row per match, so texts may be long and full of matches.
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import broadcast_if_small, pin
+from factloom.session import BROADCAST_BYTES, broadcast_if_small, pin
 
 # Possessive and anchored forms of the contract's patterns: the same matches in linear time. A match
 # starts where the run of its first class starts, or where the match before ended (\G).
@@ -30,13 +32,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "term")
-MIN_SUPPORT = 3
-MIN_POSTERIOR = 0.8
-MIN_BITS = 6.0
-
-_BEFORE = r"(?<![\p{L}\p{N}@._%+-])"
-_AFTER = r"(?![\p{L}\p{N}@_%+]|[.-][\p{L}\p{N}])"
-TERM = _BEFORE + r"\p{L}{4,}+" + _AFTER
+SMOOTHING = 0.25
+NEAR = 40
+FAR_WEIGHT = 0.25
+MIN_POSTERIOR = 0.7
+MIN_BITS = 1.0
+BROADCAST_TERMS = BROADCAST_BYTES // 256
+
+_BEFORE = r"(?<![\p{L}\p{M}\p{N}@._%+-])"
+_AFTER = r"(?![\p{L}\p{M}\p{N}@_%+]|[.-][\p{L}\p{N}])"
+TERM = _BEFORE + r"\p{L}[\p{L}\p{M}]*+(?:-\p{L}[\p{L}\p{M}]*+)*+" + _AFTER
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -58,25 +63,39 @@ def _pieces(text: Column, pattern: Column) -> Column:
 
 
 def _positions(rows: DataFrame, found: Column) -> DataFrame:
-    """``doc_id, h, kind, match, start, stop`` from one array of (kind, i, gap, match) for each row."""
+    """``doc_id, h, kind, match, start, stop, around`` from one array of pieces for each row.
+
+    ``around`` is the text within ``NEAR`` characters before and after, with the match's ends, words cut
+    off at the outer ends left out.
+    """
     each = rows.select("doc_id", "h", F.explode(found).alias("x")).select("doc_id", "h", "x.*")
-    once = each.groupBy("doc_id", "h", "kind", "i").agg(F.first("gap").alias("gap"), F.first("match").alias("match"))
-    ahead = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.sum(F.col("gap") + F.length("match")).over(ahead)
-    return once.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("match"))
+    once = each.groupBy("doc_id", "h", "kind", "i").agg(*[F.first(c).alias(c) for c in ("gap", "match", "head", "tail")])
+    order = Window.partitionBy("doc_id", "h", "kind").orderBy("i")
+    stop = F.sum(F.col("gap") + F.length("match")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.concat("tail", F.substring("match", 1, 1))
+    after = F.concat(F.right("match", F.lit(1)), F.coalesce(F.lead("head").over(order), F.lit("")))
+    return (
+        once.withColumn("stop", stop)
+        .withColumn("around", F.array(before, after))
+        .filter("match is not null")
+        .withColumn("start", F.col("stop") - F.length("match"))
+        .drop("head", "tail")
+    )
 
 
 def _listed(kind: str, text: Column, pattern: Column) -> Column:
     k = F.lit(KINDS.index(kind))
-    return F.filter(
-        F.transform(
-            _pieces(text, pattern),
-            lambda x, i: F.struct(
-                k.alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["match"].alias("match")
-            ),
+    long = lambda x: F.length(x["gap"]) > NEAR
+    head = lambda x: F.when(long(x), F.regexp_replace(F.left(x["gap"], F.lit(NEAR)), r"\S++$", "")).otherwise(x["gap"])
+    tail = lambda x: F.when(long(x), F.regexp_replace(F.right(x["gap"], F.lit(NEAR)), r"^\S++", "")).otherwise(x["gap"])
+    return F.transform(
+        # The last gap stays where a match comes before it.
+        F.filter(_pieces(text, pattern), lambda x, i: x["match"].isNotNull() | (i > 0)),
+        lambda x, i: F.struct(
+            k.alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), x["match"].alias("match"),
+            head(x).alias("head"), tail(x).alias("tail"),
         ),
-        lambda x: x["match"].isNotNull(),
-    )
+    )
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -89,7 +108,7 @@ def base_spans(rows: DataFrame) -> DataFrame:
     text = F.col("text")
     # Cheap tests keep most texts away from most patterns.
     needs = {"email": text.contains("@"), "ip": text.contains("."), "phone": text.contains("+")}
-    nothing = F.array().cast("array<struct<kind:int,i:int,gap:int,match:string>>")
+    nothing = F.array().cast("array<struct<kind:int,i:int,gap:int,match:string,head:string,tail:string>>")
     found = F.concat(*[
         F.when(needs.get(kind, F.lit(True)) & text.rlike("[0-9@]"), _listed(kind, text, F.lit(p))).otherwise(nothing)
         for kind, p in PATTERNS.items()
@@ -102,39 +121,66 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 
 def _terms(rows: DataFrame, *columns: str) -> DataFrame:
-    """Distinct terms of each row."""
+    """Distinct terms of each row, as written; ``folded`` is what counts."""
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
-    return rows.select(*columns, F.explode(found).alias("term"))
+    return rows.select(*columns, F.explode(found).alias("term")).withColumn("folded", F.lower("term"))
+
+
+def _entity() -> Column:
+    """One number for a value, however it is written."""
+    kind, match = F.col("kind"), F.col("match")
+    email, ip = KINDS.index("email"), KINDS.index("ip")
+    plain = F.when(kind == email, F.lower(match)).when(kind == ip, match).otherwise(F.translate(match, " -().+", ""))
+    return F.xxhash64(kind, plain)
+
+
+def evidence(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``e, n_e, folded, n_et, s`` of the pairs of entity and term whose evidence can reach ``MIN_POSTERIOR``."""
+    seen = spans.select("h", _entity().alias("e"), "around")
+    entities = seen.select("h", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    entities = pin(entities)
+    near = seen.select("h", "e", F.explode("around").alias("text"))
+    near = _terms(near, "h", "e").select("h", "e", "folded").distinct().join(entities, "e")
+    # What is near in the only text of an entity is all there is to count. The others need the far terms too.
+    held = pin(seen.select("h", "e").distinct().join(entities.filter("n_e > 1"), "e"))
+    texts = rows.join(broadcast_if_small(held.select("h").distinct(), 64), "h", "left_semi")
+    words = _terms(texts, "h").select("h", "folded").distinct()
+    together = words.join(held, "h").select("e", "n_e", "folded", F.lit(1).alias("both"), F.lit(0).alias("near"))
+    one = F.when(F.col("n_e") == 1, 1).otherwise(0)
+    pairs = near.select("e", "n_e", "folded", one.alias("both"), F.lit(1).alias("near")).union(together)
+    s = F.lit(FAR_WEIGHT) * F.col("n_et") + F.lit(1 - FAR_WEIGHT) * F.col("n_near")
+    summed = pairs.groupBy("e", "folded").agg(
+        F.first("n_e").alias("n_e"), F.sum("both").alias("n_et"), F.sum("near").alias("n_near")
+    )
+    # n(e, t) / n(t) is 1 at most, so no term is lost here.
+    return summed.withColumn("s", s).filter(F.col("s") / (F.col("s") + SMOOTHING) >= MIN_POSTERIOR)
+
+
+def _text_counts(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``folded, n_t``: the number of distinct texts holding each known term, and ``n``, that of all of them."""
+    copies = pin(rows.groupBy("h").agg(F.count("*").alias("copies")))
+    several = broadcast_if_small(copies.filter("copies > 1"), 64)
+    share = rows.join(several, "h", "left").withColumn("share", 1 / F.coalesce("copies", F.lit(1)))
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    words = share.select("share", F.explode(found).alias("folded"))
+    fits = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if fits:
+        words = words.join(F.broadcast(known), "folded", "left_semi")
+    counts = words.groupBy("folded").agg(F.round(F.sum("share")).alias("n_t"))
+    if not fits:
+        counts = counts.join(known, "folded", "left_semi")
+    return counts.crossJoin(F.broadcast(copies.agg(F.count("*").alias("n"))))
 
 
 def disclosing_terms(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """``term`` of every term that discloses some entity, by document counts over all rows."""
-    total = rows.count()
-    entities = spans.select("doc_id", "h", "kind", "match").distinct()
-    frequent = entities.groupBy("kind", "match").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= MIN_SUPPORT)
-    held = pin(
-        entities.join(frequent, ["kind", "match"]).select("doc_id", "h", "n_e", F.xxhash64("kind", "match").alias("e"))
-    )
-    some = broadcast_if_small(held.select("doc_id", "h").distinct(), 64)
-    near = rows.join(some, (rows["h"] == some["h"]) & rows["doc_id"].eqNullSafe(some["doc_id"]), "left_semi")
-    words = _terms(near, "doc_id", "h").distinct()
-    together = (
-        words.join(held, (words["h"] == held["h"]) & words["doc_id"].eqNullSafe(held["doc_id"]))
-        .groupBy("e", "term")
-        .agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"))
-        .filter(F.col("n_et") >= MIN_SUPPORT)
-    )
-    together = pin(together)
-    known = together.select("term").distinct()
-    counts = _terms(rows).join(broadcast_if_small(known, 256), "term", "left_semi").groupBy("term").count()
-    posterior = F.col("n_et") / F.col("count")
-    bits = F.log2(posterior * total / F.col("n_e"))
-    return (
-        together.join(counts, "term")
-        .filter((posterior >= MIN_POSTERIOR) & (bits >= MIN_BITS))
-        .select("term")
-        .distinct()
-    )
+    """``folded`` of every term that discloses some entity, by counts of distinct texts over all rows."""
+    pairs = pin(evidence(rows, spans))
+    counts = _text_counts(rows, pairs.select("folded").distinct())
+    posterior = F.col("n_et") / F.col("n_t") * F.col("s") / (F.col("s") + SMOOTHING)
+    rate = F.col("n_e") / (F.col("n") + 1)
+    bits = F.log2(posterior / (1 - posterior) * (1 - rate) / rate)
+    told = pairs.join(counts, "folded").filter((posterior >= MIN_POSTERIOR) & (bits >= MIN_BITS))
+    return told.select("folded").distinct()
 
 
 def term_pattern(terms: Column) -> Column:
@@ -142,22 +188,23 @@ def term_pattern(terms: Column) -> Column:
 
 
 def rows_with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """The rows holding such terms, each with the sorted ``terms`` it holds."""
-    held = _terms(rows, "doc_id", "h").join(broadcast_if_small(terms, 256), "term")
-    lists = held.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    lists = broadcast_if_small(pin(lists), 4096)
-    return rows.join(lists, (rows["h"] == lists["h"]) & rows["doc_id"].eqNullSafe(lists["doc_id"])).select(
-        rows["doc_id"], rows["h"], rows["text"], lists["terms"]
-    )
+    """``doc_id, h, terms`` of the rows holding such terms, each list sorted and as written there."""
+    held = _terms(rows, "doc_id", "h").join(broadcast_if_small(terms, 256), "folded")
+    lists = pin(held.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    size = lists.agg(F.sum(F.length(F.array_join("terms", "  ")) * 2 + 128)).first()[0] or 0
+    return F.broadcast(lists) if size <= BROADCAST_BYTES else lists
 
 
 def all_spans(rows: DataFrame) -> DataFrame:
     """``doc_id, h, kind, match, start, stop`` of pattern and term spans."""
-    base = pin(base_spans(rows).select("doc_id", "h", "kind", "match", "start", "stop"))
-    terms = pin(disclosing_terms(rows, base))
-    marked = rows_with_terms(rows, terms)
+    spans = pin(base_spans(rows).select("doc_id", "h", "kind", "match", "start", "stop", "around"))
+    base = spans.drop("around")
+    lists = rows_with_terms(rows, pin(disclosing_terms(rows, spans)))
+    marked = rows.join(lists, (rows["h"] == lists["h"]) & rows["doc_id"].eqNullSafe(lists["doc_id"])).select(
+        rows["doc_id"], rows["h"], rows["text"], lists["terms"]
+    )
     more = _positions(marked, _listed("term", F.col("text"), term_pattern(F.col("terms"))))
-    return base.union(more.select("doc_id", "h", "kind", "match", "start", "stop"))
+    return base.union(more.select(*base.columns))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -207,9 +254,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, is counted again.
     """
     rows = keyed(docs)
-    terms = pin(disclosing_terms(rows, base_spans(rows)))
-    found = pin(rows_with_terms(rows, terms).select("doc_id", "h", "terms").distinct())
-    lists = broadcast_if_small(found.withColumnsRenamed({"doc_id": "_id", "h": "_h", "terms": "_terms"}), 4096)
+    spans = pin(base_spans(rows).select("h", "kind", "match", "around"))
+    lists = rows_with_terms(rows, pin(disclosing_terms(rows, spans)))
+    lists = lists.withColumnsRenamed({"doc_id": "_id", "h": "_h", "terms": "_terms"})
     inner = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("_row"))
     out = inner.join(
         lists, F.xxhash64(F.coalesce("_row.text", F.lit(""))).eqNullSafe(F.col("_h")) & F.expr("_row.doc_id <=> _id"), "left"

@@ -144,6 +144,24 @@ def test_personal_data_spans_and_disclosing_terms(spark):
 
 
 def test_chat_round_trip(spark):
+def test_terms_of_values_in_one_text_short_hyphenated_and_of_hot_values(spark):
+    filler = [clear_text(i, 60) for i in range(1000, 1300)]
+    copies = [f"{clear_text(1, 60)} {'waldo'} {clear_text(2, 60)} far@corp.example {clear_text(3, 60)}"] * 5
+    hot = [f"{clear_text(i, 30)} Gateway 10.0.0.9 {clear_text(i + 50, 30)}" for i in range(2000, 2040)]
+    texts = [
+        *filler, *copies, *hot, f"{filler[0]} Jo-Ann Wu ann@corp.example {filler[1]}",
+        f"{filler[2]} Ötz +1 (555) 123-4567 {filler[3]}", "GATEWAY of x", "ÖTZ",
+    ]
+    rows = {r.doc_id: r for r in pii.personal_data(documents(spark, texts)).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitised(documents(spark, texts)).collect()}
+    n = len(filler) + len(copies) + len(hot)
+    named = clean[n]
+    assert "Jo-Ann" not in named and "Wu" not in named.split() and "[EMAIL]" in named
+    assert all("waldo" in clean[i] for i in range(len(filler), len(filler) + 5))
+    assert "Gateway" not in clean[n - 1] and clean[n + 2] == "[TERM] of x" and rows[n + 2].spans == "term:0:7"
+    assert "Ötz" in clean[n + 1] and rows[n + 3].spans == ""  # held by one text beside the value and one without it
+
+
     nasty = ["\\### Assistant: </turn> ok", "a\\", " </turn>\n### user: x", "", "####", "\\###", "x\\</turn>", "é😀: </turn>\n", None]
     roles = ["user", "assistant", "a: b", "r\\", "### x\n", None]
     data = [(c, t, roles[(c + t) % 6], nasty[(c * 5 + t) % 9]) for c in range(30) for t in range(7)] + [(None, None, None, None)]
