@@ -1,20 +1,26 @@
-"""Quality rules: zstandard ratios of whole documents and of fixed chunks inside length-specific bands.
+"""Quality rules: zstandard ratios of whole documents and of their chunks inside length-specific bands.
 
 A repetitive text compresses too well, random text hardly at all. Both limits depend on the
-length, since short inputs pay the frame header and long ones find more to refer to. Before the
-bands come plain word rules. Null and empty texts have no words and fail the word rules; copies
+length, since short inputs pay the frame header and long ones find more to refer to. They come from
+the ratios of all documents that pass the word rules, by classes of half an octave of length, and
+lie within fixed outer bands; a corpus of fewer than ``MIN_CLASS`` such documents has only the outer ones.
+Before the bands come plain word rules. Null and empty texts have no words and fail the word rules; copies
 and ties are judged alike, as a document's verdict depends on its text only.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.text import WORD, per_document
+from factloom.session import pin
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -27,14 +33,26 @@ BANDS = (
     (float("inf"), 1.35, 6.0),
 )
 CHUNK = 2048
+LEAST_CHUNK = 128
+# For chunks of half size on.
 CHUNK_BAND = (1.2, 6.0)
 LEVEL = 3
+# Quantile of the logarithms of ratios, and how many times its distance from the median a limit has.
+LOW_TAIL = (0.05, 3.0)
+HIGH_TAIL = (0.99, 2.0)
+# Least factor between median and limit, and how much wider the limits of pooled classes are.
+LEAST_WIDTH = 1.15
+# Classes with fewer members are pooled with their neighbours.
+MIN_CLASS = 100
+_STEPS = 500
 
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, ratio double, low_chunk double, high_chunk double, kept boolean"
 )
+_PART = "struct<class:int,ratio:double>"
+_MEASURED = FIELDS.replace("kept boolean", f"in_bands boolean, class int, parts array<{_PART}>")
 
 
 def repeated_words(words: list[str]) -> int:
@@ -56,25 +74,35 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def ratios(data: bytes, compressor, chunk: int = CHUNK) -> tuple[float, float, float]:
-    """Whole ratio, and least and greatest ratio of the full chunks (a last one from half size on)."""
+def chunks(data: bytes) -> list[bytes]:
+    """Chunks of ``CHUNK`` bytes, the last one ending with the text; two halves of shorter texts."""
+    n = len(data)
+    if n < 2 * LEAST_CHUNK:
+        return [data]
+    size = min(CHUNK, (n + 1) // 2)
+    return [data[i : i + size] for i in [*range(0, n - size, size), n - size]]
+
+
+def size_class(length: int) -> int:
+    return int(2 * math.log2(max(length, 1)))
+
+
+def ratios(data: bytes, compressor) -> tuple[float, list[tuple[int, float]]]:
+    """The whole ratio, and length and ratio of each chunk."""
     if not data:
-        return 0.0, 0.0, 0.0
+        return 0.0, []
     whole = len(data) / len(compressor.compress(data))
-    if len(data) < 1.5 * chunk:
-        return whole, whole, whole
-    each = [
-        len(part) / len(compressor.compress(part))
-        for part in (data[i : i + chunk] for i in range(0, len(data) - chunk // 2, chunk))
-    ]
-    return whole, min(each), max(each)
+    parts = chunks(data)
+    if len(parts) == 1:
+        return whole, [(len(data), whole)]
+    return whole, [(len(part), len(part) / len(compressor.compress(part))) for part in parts]
 
 
-def in_bands(length: int, whole: float, low: float, high: float) -> bool:
+def in_bands(length: int, whole: float, parts: list[tuple[int, float]]) -> bool:
     least, most = next((a, b) for end, a, b in BANDS if length < end)
     if not least <= whole <= most:
         return False
-    return length < 1.5 * CHUNK or (low >= CHUNK_BAND[0] and high <= CHUNK_BAND[1])
+    return len(parts) == 1 or all(CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for n, r in parts if n >= CHUNK // 2)
 
 
 def _judge(texts: list[str]):
@@ -85,17 +113,76 @@ def _judge(texts: list[str]):
         repeats = repeated_words(words)
         failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
         data = text.encode()
-        measured = ratios(data, compressor)
+        whole, parts = ratios(data, compressor)
+        each = [r for _, r in parts] or [0.0]
         out.append((
             len(words), sum(map(len, words)), len(text) - len(text.translate(_SYMBOLS)),
-            duplicate_lines(text), repeats, failed, *measured, not failed and in_bands(len(data), *measured),
+            duplicate_lines(text), repeats, failed, whole, min(each), max(each), in_bands(len(data), whole, parts),
+            size_class(len(data)), [{"class": size_class(n), "ratio": r} for n, r in parts],
         ))
-    return list(zip(*out))
+    *columns, parts = zip(*out)
+    kind = pa.list_(pa.struct([("class", pa.int32()), ("ratio", pa.float64())]))
+    *plain, classes = columns
+    return [*plain, pa.array(classes, pa.int32()), pa.array(parts, kind)]
+
+
+def _quantile(counts: Counter, q: float) -> float:
+    steps = sorted(counts)
+    ahead = np.cumsum([counts[x] for x in steps])
+    return steps[int(np.searchsorted(ahead, q * ahead[-1]))] / _STEPS
+
+
+def class_limits(counts: dict[int, Counter]) -> dict[int, tuple[float, float]]:
+    """Least and greatest ratio of each class, from its counts of ``round(_STEPS * ln(ratio))``."""
+    out = {}
+    reach = max(counts, default=0) - min(counts, default=0)
+    for k in counts:
+        pool, width = Counter(counts[k]), 0
+        while sum(pool.values()) < MIN_CLASS and width < reach:
+            width += 1
+            for x in (k - width, k + width):
+                pool.update(counts.get(x, {}))
+        if sum(pool.values()) < MIN_CLASS:
+            out[k] = (0.0, math.inf)
+            continue
+        middle, least = _quantile(pool, 0.5), math.log(LEAST_WIDTH)
+        down = max(LOW_TAIL[1] * (middle - _quantile(pool, LOW_TAIL[0])), least) + least * bool(width)
+        up = max(HIGH_TAIL[1] * (_quantile(pool, HIGH_TAIL[0]) - middle), least) + least * bool(width)
+        out[k] = (math.exp(middle - down), math.exp(middle + up))
+    return out
+
+
+def limits(measured: DataFrame) -> tuple[dict[int, tuple[float, float]], dict[int, tuple[float, float]]]:
+    """Limits of whole documents and of chunks; the counts reach the driver, some hundred for each of some sixty classes."""
+    whole = F.array(F.struct(F.lit(0).alias("kind"), "class", "ratio"))
+    parts = F.transform("parts", lambda x: F.struct(F.lit(1).alias("kind"), x["class"].alias("class"), x["ratio"].alias("ratio")))
+    each = measured.filter("not base_failed").select(F.explode(F.concat(whole, parts)).alias("x")).select("x.*")
+    found = each.groupBy("kind", "class", F.round(F.log("ratio") * _STEPS).cast("int").alias("step")).count().collect()
+    counts = (defaultdict(Counter), defaultdict(Counter))
+    for kind, k, step, n in found:
+        counts[kind][k][step] += n
+    return class_limits(counts[0]), class_limits(counts[1])
+
+
+def _between(ratio: Column, of: Column, bounds: dict[int, tuple[float, float]]) -> Column:
+    if not bounds:
+        return F.lit(False)
+    least, most = [F.create_map(*[F.lit(x) for k, v in sorted(bounds.items()) for x in (k, v[i])]) for i in (0, 1)]
+    return F.coalesce(ratio.between(least[of], most[of]), F.lit(False))
 
 
 def quality_rules(docs: DataFrame, carry, text: str = "text") -> DataFrame:
     """``row`` (the carried columns) with counts, ratios and the verdict ``kept`` of each document."""
-    return per_document(docs, _judge, FIELDS, carry, text)
+    measured = pin(per_document(docs, _judge, _MEASURED, carry, text))
+    of_whole, of_parts = limits(measured)
+    kept = (
+        ~F.col("base_failed")
+        & F.col("in_bands")
+        & _between(F.col("ratio"), F.col("class"), of_whole)
+        & F.forall("parts", lambda x: _between(x["ratio"], x["class"], of_parts))
+    )
+    names = [name.split()[0] for name in FIELDS.split(", ")]
+    return measured.withColumn("kept", kept).select("row", *names)
 
 
 def passing(docs: DataFrame, text: str = "text") -> DataFrame:

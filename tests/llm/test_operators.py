@@ -1,5 +1,6 @@
 """The text operators against brute force, exact round trips and awkward inputs."""
 
+import base64
 import hashlib
 import random
 import re
@@ -143,7 +144,6 @@ def test_personal_data_spans_and_disclosing_terms(spark):
     assert "@" not in clean[plain].text and clean[plain].n_chars == len(clean[plain].text)
 
 
-def test_chat_round_trip(spark):
 def test_terms_of_values_in_one_text_short_hyphenated_and_of_hot_values(spark):
     filler = [clear_text(i, 60) for i in range(1000, 1300)]
     copies = [f"{clear_text(1, 60)} {'waldo'} {clear_text(2, 60)} far@corp.example {clear_text(3, 60)}"] * 5
@@ -162,6 +162,7 @@ def test_terms_of_values_in_one_text_short_hyphenated_and_of_hot_values(spark):
     assert "Ötz" in clean[n + 1] and rows[n + 3].spans == ""  # held by one text beside the value and one without it
 
 
+def test_chat_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "a\\", " </turn>\n### user: x", "", "####", "\\###", "x\\</turn>", "é😀: </turn>\n", None]
     roles = ["user", "assistant", "a: b", "r\\", "### x\n", None]
     data = [(c, t, roles[(c + t) % 6], nasty[(c * 5 + t) % 9]) for c in range(30) for t in range(7)] + [(None, None, None, None)]
@@ -230,6 +231,30 @@ def test_quality_rules(spark):
     assert quality_rules.passing(documents(spark, texts)).columns == documents(spark).columns
 
 
+def test_quality_limits_come_from_the_corpus(spark):
+    draw = random.Random(4)
+
+    def base64_words(n):
+        raw = base64.b64encode(draw.randbytes(n)).decode()[:n]
+        return " ".join(raw[i : i + 9] for i in range(0, n, 9))
+
+    def printable(n):
+        return "".join(" " if draw.random() < 0.15 else chr(draw.randint(33, 126)) for _ in range(n))
+
+    clean = [clear_text(i, int(60 * 30 ** draw.random())) for i in range(1000)]
+    sizes = (700, 2000, 4000, 10000, 15000)
+    junk = [base64_words(n) for n in sizes] + [printable(n) for n in (700, 2600, 8000)]
+    junk += [" ".join(f"{w} same" for w in clear_text(i, n).split()) for i, n in ((1, 200), (2, 900))]
+    junk += [clear_text(5, n) + " " + base64_words(m) for n, m in ((70, 500), (340, 900), (1050, 1000))]
+    rows = {r.row.doc_id: r for r in quality_rules.quality_rules(documents(spark, clean + junk), ["doc_id"]).collect()}
+    assert [i for i in range(len(clean)) if not rows[i].kept] == []
+    assert [i for i in range(len(junk)) if rows[len(clean) + i].kept] == []
+    assert not any(rows[len(clean) + i].base_failed for i in range(len(junk)))
+    for n in (0, 1, 200, 256, 257, 3000, 4095, 4096, 6143, 6144, 9000):
+        parts = quality_rules.chunks(bytes(n))
+        assert n <= sum(map(len, parts)) < n + quality_rules.CHUNK and max(map(len, parts)) <= quality_rules.CHUNK
+
+
 def test_toxicity_and_quality_learn_and_survive_missing_labels(spark):
     texts = [*AWKWARD, *[clear_text(i, 40) + (" vile scum here" if i % 4 == 0 else "") for i in range(200)]]
     docs = documents(spark, texts)
