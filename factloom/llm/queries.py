@@ -9,6 +9,7 @@ from factloom.llm.minhash_dedup import op1_minhash_dedup
 from factloom.llm.pii import op5_pii
 from factloom.llm.quality_classifier import op4_quality_classifier
 from factloom.llm.quality_rules import op9_quality_rules
+from factloom.llm.spelling import op11_spelling_variants
 from factloom.llm.substring_dedup import op7_substring_dedup
 from factloom.llm.toxicity import op10_toxicity
 from factloom.session import tune
@@ -31,6 +32,7 @@ QUERIES = {
         license_scan.op8_license_scan,
         op9_quality_rules,
         op10_toxicity,
+        op11_spelling_variants,
     )
 }
 ORACLES: dict[str, str] = {
