@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from factloom.llm.bpe import op2_bpe
 from factloom.llm.chat_format import op6_chat_format
-from factloom.llm import decontamination, license_scan
+from factloom.llm import decontamination, divergence, license_scan
 from factloom.llm.minhash_dedup import op1_minhash_dedup
 from factloom.llm.pii import op5_pii
 from factloom.llm.quality_classifier import op4_quality_classifier
@@ -33,9 +33,11 @@ QUERIES = {
         op9_quality_rules,
         op10_toxicity,
         op11_spelling_variants,
+        divergence.op13_source_divergence,
     )
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontamination.SQL,
     "op8_license_scan": license_scan.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
