@@ -5,6 +5,7 @@ from __future__ import annotations
 from factloom.llm.bpe import op2_bpe
 from factloom.llm.chat_format import op6_chat_format
 from factloom.llm import decontamination, divergence, license_scan
+from factloom.llm.jaccard_join import op12_jaccard_join
 from factloom.llm.minhash_dedup import op1_minhash_dedup
 from factloom.llm.pii import op5_pii
 from factloom.llm.quality_classifier import op4_quality_classifier
@@ -33,6 +34,7 @@ QUERIES = {
         op9_quality_rules,
         op10_toxicity,
         op11_spelling_variants,
+        op12_jaccard_join,
         divergence.op13_source_divergence,
     )
 }
