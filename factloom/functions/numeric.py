@@ -1,8 +1,7 @@
 """Numeric values to vectors: per-relation scaling and the embedding forms, as expressions.
 
-Fitted scalers hold a few numbers per relation, and relations are bounded by the schema
-(``triples.MAX_RELATIONS``), so they are broadcast. Weight tables hold vectors and are
-broadcast only after a check of their size.
+Fitted scalers hold a few numbers per relation and weight tables a few vectors; both are broadcast
+only after a check of their size.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions import vectors as V
 from factloom.functions.hashing import unit
 from factloom.functions.ordered import exact_quantiles
-from factloom.session import broadcast_if_small
+from factloom.session import broadcast_if_small, stored_broadcast
 
 N_QUANTILES = 20
 WEIGHT_ROW_BYTES = 8 * 1024  # a few vectors of some hundred numbers
@@ -53,7 +52,7 @@ def quantile_position(x: Column, q: Column, at_most: Column, below: Column) -> C
 
 def apply_quantiles(triples: DataFrame, fitted: DataFrame, out: str = "x") -> DataFrame:
     x, q = F.col("tail_val"), F.col("quantiles")
-    counted = triples.join(F.broadcast(fitted), "rel").select(
+    counted = triples.join(stored_broadcast(fitted, 512), "rel").select(
         "*",
         F.size(F.filter(q, lambda v: v <= x)).alias("_at_most"),
         F.size(F.filter(q, lambda v: v < x)).alias("_below"),
@@ -74,7 +73,7 @@ def apply_min_max(triples: DataFrame, fitted: DataFrame, out: str = "x") -> Data
     width = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
     scaled = (F.col("tail_val") - F.col("low")) / width
     return (
-        triples.join(F.broadcast(fitted), "rel")
+        triples.join(stored_broadcast(fitted, 512), "rel")
         .withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
         .drop("low", "high")
     )

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.hashing import md5int
-from factloom.session import pin
+from factloom.session import broadcast_if_small, pin
 
 HEX_DIGITS = 3  # 16^3 = 4096 buckets
 ROWS_PER_BUCKET = 100_000
+# Buckets of one round of narrowing, and the rows that are sorted as a list.
+BUCKETS = 4096
+SORTED_ROWS = 4096
 
 
 def dense_ids(keys: DataFrame, key: str, out: str) -> DataFrame:
@@ -136,32 +139,96 @@ def running_totals(
     )
 
 
+def _magnitude(x: Column) -> Column:
+    """Grows with ``x``, by equal steps for equal factors; no positive double is below ``exp(-750)``."""
+    return F.signum(x) * F.coalesce(F.ln(F.nullif(F.abs(x), F.lit(0.0))) + 750, F.lit(0.0))
+
+
+def _cells_of(rows: DataFrame, cells: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``rows`` with the cell ``_lo.._hi`` of their group that holds them; others are dropped."""
+    lists = cells.groupBy(*group).agg(F.collect_list(F.struct("_lo", "_hi", "_below")).alias("_cells"))
+    holds = F.filter("_cells", lambda c: (c["_lo"] <= F.col("_v")) & (F.col("_v") <= c["_hi"]))
+    # most rows lie in no cell: joined where they are, unless there are very many large groups
+    held = rows.join(broadcast_if_small(pin(lists), 4096), group).select(*group, "_v", F.explode(holds).alias("_c"))
+    return held.select(*group, "_v", "_c.*")
+
+
+def _ranked_values(rows: DataFrame, group: Sequence[str], targets: DataFrame, sorted_rows: int) -> DataFrame:
+    """``(group…, _rank, _value)``: the values at ``targets(group…, _n, _lo, _hi, _rank)``, ranks counted from 0, of
+    groups with ``_n`` rows from ``_lo`` to ``_hi``.
+
+    A round cuts the cell that holds a rank into ``BUCKETS`` of equal width, on a scale of magnitudes and on that of the
+    values in turn, and counts them; the rank's bucket, from its least to its greatest value, is the next cell. Cells
+    of one value or of ``sorted_rows`` rows end it, so the rows that are ever brought together are that few.
+    """
+    done, turn = None, 0
+    state = pin(targets.withColumn("_below", F.lit(0).cast("long")).withColumnRenamed("_n", "_size"))
+    cell = [*group, "_lo"]
+    while True:
+        wide = (F.col("_lo") < F.col("_hi")) & (F.col("_size") > sorted_rows)
+        ended = state.filter(~wide)
+        done = ended if done is None else done.unionByName(ended)
+        state = state.filter(wide)
+        if state.isEmpty():
+            break
+        cells = state.select(*group, "_lo", "_hi", "_below").distinct()
+        low, high, here = (_magnitude(x) if turn % 2 == 0 else x for x in (F.col(c).cast("double") for c in ("_lo", "_hi", "_v")))
+        turn += 1
+        share = F.coalesce((here - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        counted = (
+            _cells_of(rows, cells, group)
+            .groupBy(*cell, "_below", bucket.alias("_bucket"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        )
+        before = Window.partitionBy(*cell).orderBy("_bucket")  # at most BUCKETS rows
+        placed = counted.withColumn("_start", F.col("_below") + F.sum("_n").over(before) - F.col("_n")).drop("_below")
+        inside = (F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_start") + F.col("_n"))
+        state = pin(
+            state.select(*cell, "_rank").join(placed, cell).filter(inside).select(
+                *group, F.col("_n").alias("_size"), F.col("_low").alias("_lo"), F.col("_high").alias("_hi"), "_rank",
+                F.col("_start").alias("_below"),
+            )
+        )
+    done = pin(done)
+    same = done.filter("_lo = _hi").select(*group, "_rank", F.col("_lo").alias("_value"))
+    few = done.filter("_lo < _hi")
+    cells = few.select(*group, "_lo", "_hi", "_below").distinct()
+    sorted_cells = _cells_of(rows, cells, group).groupBy(*cell).agg(F.sort_array(F.collect_list("_v")).alias("_sorted"))
+    at = F.get("_sorted", (F.col("_rank") - F.col("_below")).cast("int"))
+    return same.unionByName(few.join(sorted_cells, cell).select(*group, "_rank", at.alias("_value")))
+
+
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float] | int, min_rows: int = 0
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    probs: Sequence[float] | int,
+    min_rows: int = 0,
+    sorted_rows: int = SORTED_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: ``(group…, prob_index, quantile)``.
 
     ``probs`` may be a count of evenly spaced quantiles; a group of fewer rows gets one per row.
 
-    Equal values are merged before the sort, and each wanted rank is looked up in the running
-    counts; nothing is kept per group, so group size is unbounded. Groups of ``min_rows`` rows
-    or fewer are left out.
+    A group of at most ``sorted_rows`` rows is sorted as a list. The ranks of larger ones are narrowed down by counts
+    (``_ranked_values``), all groups and ranks at once, so group size is unbounded and no row is moved before
+    few are left. Groups of ``min_rows`` rows or fewer are left out.
     """
     group = list(group)
     if not group:
         whole = df.withColumn("_all", F.lit(0))
-        return exact_quantiles(whole, ["_all"], value, probs, min_rows).drop("_all")
-    counts = (
-        df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*group, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        return exact_quantiles(whole, ["_all"], value, probs, min_rows, sorted_rows).drop("_all")
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    rows = pin(df.filter(known).select(*group, F.col(value).alias("_v")))
+    sizes = pin(
+        rows.groupBy(*group)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .filter(F.col("_n") > min_rows)
     )
-    ranked = running_totals(counts, group, ["_v"], {"_end": "_n"})
-    if min_rows:
-        ranked = ranked.filter(F.col("_end_total") > min_rows)
-    last = F.col("_end_total") - 1
+    last = F.col("_n") - 1
     if isinstance(probs, int):
-        steps = F.least(F.lit(probs), F.col("_end_total")).cast("int") - 1
+        steps = F.least(F.lit(probs), F.col("_n")).cast("int") - 1
         wanted = F.transform(
             F.sequence(F.lit(0), steps),
             lambda i: F.struct(i.alias("prob_index"), (i * last / F.greatest(steps, F.lit(1))).alias("pos")),
@@ -171,19 +238,33 @@ def exact_quantiles(
             F.array(*[F.lit(float(p)) for p in probs]),
             lambda p, i: F.struct(i.alias("prob_index"), (p * last).alias("pos")),
         )
-    first = F.col("_end") - F.col("_n")
-    covers = lambda rank: (first <= rank) & (rank < F.col("_end"))
-    hits = ranked.select(
+    between = lambda low, high, pos: low + (high - low) * (pos - F.floor(pos))
+    small = sizes.filter(F.col("_n") <= sorted_rows).select(*group, "_n")
+    # rows of large groups end before the shuffle: only lists of small ones are made
+    large = sizes.filter(F.col("_n") > sorted_rows)
+    sorted_groups = (
+        rows.join(broadcast_if_small(large.select(*group), 64), group, "left_anti")
+        .groupBy(*group)
+        .agg(F.sort_array(F.collect_list("_v")).alias("_sorted"))
+        .join(small, group)
+    )
+    item = lambda i: F.get("_sorted", i.cast("int"))
+    direct = sorted_groups.select(*group, "_sorted", F.explode(wanted).alias("w")).select(
         *group,
-        "_v",
-        first.alias("_first"),
-        "_end",
-        F.explode(F.filter(wanted, lambda w: covers(F.floor(w["pos"])) | covers(F.ceil(w["pos"])))).alias("w"),
+        F.col("w.prob_index").alias("prob_index"),
+        between(item(F.floor("w.pos")), item(F.ceil("w.pos")), F.col("w.pos")).alias("quantile"),
     )
-    inside = lambda rank: (F.col("_first") <= rank) & (rank < F.col("_end"))
-    low = F.max(F.when(inside(F.floor("w.pos")), F.col("_v")))
-    high = F.max(F.when(inside(F.ceil("w.pos")), F.col("_v")))
-    fraction = F.max(F.col("w.pos") - F.floor("w.pos"))
-    return hits.groupBy(*group, F.col("w.prob_index").alias("prob_index")).agg(
-        (low + (high - low) * fraction).alias("quantile")
+    if large.isEmpty():
+        return direct
+    asked = large.select(*group, "_n", "_lo", "_hi", F.explode(wanted).alias("w"))
+    ranks = F.explode(F.array_distinct(F.array(F.floor("w.pos"), F.ceil("w.pos")))).alias("_rank")
+    targets = asked.select(*group, "_n", "_lo", "_hi", ranks).distinct()
+    found = pin(_ranked_values(rows, group, targets, sorted_rows))
+    side = lambda name: found.select(*group, F.col("_rank").alias(f"_{name}"), F.col("_value").alias(f"_{name}_value"))
+    narrowed = (
+        asked.select(*group, "w.*", F.floor("w.pos").alias("_floor"), F.ceil("w.pos").alias("_ceil"))
+        .join(side("floor"), [*group, "_floor"])
+        .join(side("ceil"), [*group, "_ceil"])
+        .select(*group, "prob_index", between(F.col("_floor_value"), F.col("_ceil_value"), F.col("pos")).alias("quantile"))
     )
+    return direct.unionByName(narrowed)

@@ -2,18 +2,23 @@
 
 Links: ``(col, kind, head, tail_id, tail_val)`` where ``col`` names a relation and direction:
 ``N<rel>`` numeric, ``C<k>`` categorical, ``C<n_cat + k>`` its inverse. Features stay long
-``(head, feature, num, cat)`` until ``feature_matrix`` pivots them, so the number of joins
-does not grow with the number of relations.
+``(head, feature, num, cat)`` until one grouped aggregate turns them into sparse rows over a dictionary
+of features, from which ``feature_matrix`` makes columns; joins and aggregates do not grow with the relations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.session import broadcast_if_small
+
 NUMERIC_STATS = ("SUM", "MEAN", "MIN", "MAX", "STD", "SKEW")
 CATEGORICAL_STATS = ("NUM_UNIQUE", "MODE")
 TOP_N = 10
@@ -218,17 +223,68 @@ def long_features(
     return features, cat
 
 
+def feature_dictionary(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """``(index, feature)``: the features' numbers, in the order of ``names``."""
+    return spark.createDataFrame(list(enumerate(names)), "index int, feature string")
+
+
+def feature_vectors(features: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``(head, index, num, cat)``: one sparse row per entity, the numbers and values of its features in the
+    dictionary's order; one grouped aggregate whatever the number of features."""
+    numbered = features.join(broadcast_if_small(dictionary, 128), "feature").filter("num is not null or cat is not null")
+    cells = F.sort_array(F.collect_list(F.struct("index", "num", "cat")))
+    field = lambda name: F.transform("cells", lambda c: c[name]).alias(name)
+    return numbered.groupBy("head").agg(cells.alias("cells")).select("head", *map(field, ("index", "num", "cat")))
+
+
+def vector_features(vectors: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Sparse rows back in long form ``(head, feature, num, cat)``."""
+    long = vectors.select("head", F.inline(F.arrays_zip("index", "num", "cat")))
+    return long.join(broadcast_if_small(dictionary, 128), "index").select("head", "feature", "num", "cat")
+
+
+def _columns(n_numeric: int, zero: Sequence[bool], names: Sequence[str]):
+    """Sparse rows as one column per feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).to_numpy()
+            row = np.repeat(np.arange(n), lengths)
+            index, num, cat = (batch.column(k).flatten() for k in (1, 2, 3))
+            index = index.to_numpy()
+            order = np.argsort(index, kind="stable")
+            ends = np.searchsorted(index[order], np.arange(len(names) + 1))
+            made = [batch.column(0)]
+            for k in range(len(names)):
+                at = order[ends[k] : ends[k + 1]]
+                missing = np.ones(n, dtype=bool)
+                if k < n_numeric:
+                    values = np.zeros(n)
+                    values[row[at]] = num.take(pa.array(at)).to_numpy(zero_copy_only=False)
+                    missing[row[at]] = False
+                    made.append(pa.array(values, mask=missing & (not zero[k])))
+                else:
+                    values = np.zeros(n, dtype=np.int64)
+                    values[row[at]] = cat.take(pa.array(at)).to_numpy(zero_copy_only=False)
+                    missing[row[at]] = False
+                    made.append(pa.array(values, mask=missing))
+            yield pa.RecordBatch.from_arrays(made, ["head", *names])
+
+    return run
+
+
 def feature_matrix(
     features: DataFrame, entities: DataFrame, numeric: Sequence[str], nominal: Sequence[str]
 ) -> DataFrame:
     """One row per entity and one column per named feature; counts and sums of nothing are 0."""
-    cell = lambda f, side: F.max(F.when(F.col("feature") == f, F.col(side))).alias(f)
-    rows = features.groupBy("head").agg(
-        *[cell(f, "num") for f in numeric], *[cell(f, "cat") for f in nominal]
-    )
-    zero = [f for f in numeric if f.startswith(("COUNT(", "SUM("))]
+    names = [*numeric, *nominal]
+    vectors = feature_vectors(features, feature_dictionary(features.sparkSession, names))
     heads = entities.select(F.col("entity_id").alias("head")).distinct()
-    return heads.join(rows, "head", "left").fillna(0.0, subset=[f"`{f}`" for f in zero])
+    zero = [f.startswith(("COUNT(", "SUM(")) for f in names]
+    kinds = ["head long", *[f"`{f}` double" for f in numeric], *[f"`{f}` long" for f in nominal]]
+    rows = heads.select(F.col("head").cast("long")).join(vectors, "head", "left")
+    return rows.mapInArrow(_columns(len(numeric), zero, names), ", ".join(kinds))
 
 
 def deep_features(

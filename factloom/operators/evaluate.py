@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.session import pin
-from factloom.functions import vectors as V
 from factloom.functions.hashing import md5int
 from factloom.functions.ordered import exact_quantiles, running_totals
 from factloom.operators.handmade import one_hot
+from factloom.operators.linear import cv_linear, present
+from factloom.operators.neighbours import K_VALUES, inner_neighbours, knn_neighbours, knn_predictions
 from factloom.operators.resolve import attach_vectors, in_vocabulary, resolve_entities
 
 N_FOLDS = 5
@@ -129,83 +129,28 @@ def roc_auc(predictions: DataFrame, group: Sequence[str], label: str = "label",
     return curve.groupBy(*group).agg((won / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 
 
-# --- linear regression -------------------------------------------------------------------------
-
-
-def _partial_grams(columns: Sequence[str], y: str):
-    """Per-partition cross products of (1, features, y) for every (repeat, fold)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, part in batch.groupby(["repeat", "fold"], sort=False):
-                data = np.column_stack([np.ones(len(part)), part[[*columns, y]].to_numpy(float)])
-                gram = data.T @ data
-                sums[key] = sums[key] + gram if key in sums else gram
-        for (repeat, fold), gram in sums.items():
-            n = len(gram)
-            yield pd.DataFrame({"repeat": [repeat] * n, "fold": [fold] * n, "i": range(n), "products": list(gram)})
-
-    return run
-
-
-def fold_grams(rows: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
-    """``(repeat, fold, i, j, product)``: sums over the rows of each fold, in one pass."""
-    partial = rows.select("repeat", "fold", *[F.col(f"`{c}`") for c in columns], y).mapInPandas(
-        _partial_grams(columns, y), "repeat int, fold int, i int, products array<double>"
-    )
-    return (
-        partial.select("repeat", "fold", "i", F.posexplode("products").alias("j", "_product"))
-        .groupBy("repeat", "fold", "i", "j")
-        .agg(F.sum("_product").alias("product"))
-    )
-
-
-def cv_linear(rows: DataFrame, columns: Sequence[str], y: str = "target") -> DataFrame:
-    """Out-of-fold predictions of least squares fitted on the other folds of each repeat.
-
-    One pass collects the cross products of every fold; a fold's training products are the
-    repeat's total minus its own. Only (features + 2)^2 numbers per fold reach the driver.
-    """
-    grams: dict[tuple, np.ndarray] = {}
-    size = len(columns) + 2
-    for r in fold_grams(rows, columns, y).collect():
-        grams.setdefault((r["repeat"], r["fold"]), np.zeros((size, size)))[r["i"], r["j"]] = r["product"]
-    weights = []
-    for (repeat, fold), _ in grams.items():
-        train = sum(g for (rep, f), g in grams.items() if rep == repeat and f != fold)
-        n, sx, sy = train[0, 0], train[0, 1:-1], train[0, -1]
-        centred = train[1:-1, 1:-1] - np.outer(sx, sx) / n
-        coef = np.linalg.lstsq(centred, train[1:-1, -1] - sx * sy / n, rcond=None)[0]
-        weights.append((repeat, fold, float(sy / n - coef @ sx / n), [float(c) for c in coef]))
-    fitted = rows.sparkSession.createDataFrame(
-        weights, "repeat int, fold int, intercept double, coefficients array<double>"
-    )
-    terms = [F.col("coefficients")[i] * F.col(f"`{c}`") for i, c in enumerate(columns)]
-    joined = rows.join(F.broadcast(fitted), ["repeat", "fold"])
-    return joined.withColumn("prediction", reduce(lambda a, b: a + b, terms, F.col("intercept"))).drop(
-        "intercept", "coefficients"
-    )
-
-
 # --- boosted trees -----------------------------------------------------------------------------
 
 GRID = {"maxDepth": (2, 4, 6, 12), "minInstancesPerNode": (4, 6, 10, 20)}
 
 
+# Beyond every value, so that a split can send the missing rows to either side of all others.
+FAR = 1e300
+
+
 def _prepared(rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list]:
-    """Numeric columns, 0 where missing, with missing flags, and the stage that assembles them.
+    """Numeric columns without nulls, and the stage that assembles them.
 
-    A constant needs no pass over the training rows and holds for columns that are missing throughout;
-    the flag lets a tree part missing rows from zeros.
+    A feature with missing values comes twice, with them below and above all values: a tree that splits on
+    one copy or the other learns the direction that missing rows take, as well as a split of their own.
     """
-    plain = [f"_f{i}" for i in range(len(columns))]
-    double = [F.col(f"`{c}`").cast("double") for c in columns]
-    values = [F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)).alias(n) for x, n in zip(double, plain)]
-    flags = [(x.isNull() | F.isnan(x)).cast("double").alias(f"{n}_missing") for x, n in zip(double, plain)]
+    double = [present(F.col(f"`{c}`")) for c in columns]
+    gaps = rows.agg(*[F.count_if(x.isNull()).alias(f"_{i}") for i, x in enumerate(double)]).first()
+    cells = {f"_f{i}": F.coalesce(x, F.lit(-FAR)) for i, x in enumerate(double)}
+    cells |= {f"_f{i}_above": F.coalesce(x, F.lit(FAR)) for i, x in enumerate(double) if gaps[i]}
     keep = [F.col(c) for c in rows.columns if c in ("repeat", "fold", "target", "entity_id")]
-    assembler = VectorAssembler(inputCols=[*plain, *[f"{n}_missing" for n in plain]], outputCol="features")
-    return rows.select(*keep, *values, *flags), [assembler]
+    assembler = VectorAssembler(inputCols=list(cells), outputCol="features")
+    return rows.select(*keep, *[x.alias(n) for n, x in cells.items()]), [assembler]
 
 
 def _estimator(is_regression: bool, seed: int, max_iter: int):
@@ -213,11 +158,17 @@ def _estimator(is_regression: bool, seed: int, max_iter: int):
     return cls(featuresCol="features", labelCol="target", seed=seed, maxIter=max_iter)
 
 
-def _scorer(scoring: str):
+def _metric(scored: DataFrame, group: Sequence[str], scoring: str) -> DataFrame:
+    """``(group…, <scoring>)`` of ``scored(target, score)``, exact."""
     if scoring == "r2":
-        return RegressionEvaluator(labelCol="target", metricName="r2")
-    name = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR"}[scoring]
-    return BinaryClassificationEvaluator(labelCol="target", metricName=name)
+        return r2_score(scored, group, y="target", pred="score")
+    metric = {"average_precision": average_precision, "roc_auc": roc_auc}[scoring]
+    return metric(scored, group, label="target", score="score")
+
+
+def _scored(model, rows: DataFrame, is_regression: bool) -> DataFrame:
+    score = F.col("prediction") if is_regression else vector_to_array("probability")[1]
+    return model.transform(rows).withColumn("score", score)
 
 
 def grid_search(
@@ -229,23 +180,31 @@ def grid_search(
     max_iter: int,
     grid: Mapping[str, Sequence[int]] = GRID,
     inner_folds: int = 3,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ):
-    """Tree depth and leaf size chosen by inner cross-validation on the scoring metric."""
-    model = _estimator(is_regression, seed, max_iter)
-    params = ParamGridBuilder()
-    for name, values in grid.items():
-        params = params.addGrid(model.getParam(name), list(values))
-    inner = train.withColumn("_inner", F.pmod(md5int(F.lit(seed), "entity_id"), F.lit(inner_folds)).cast("int"))
-    search = CrossValidator(
-        estimator=Pipeline(stages=[*stages, model]),
-        estimatorParamMaps=params.build(),
-        evaluator=_scorer(scoring),
-        numFolds=inner_folds,
-        foldCol="_inner",
-        parallelism=parallelism,
-    )
-    return search.fit(inner)
+    """The model of the tree depth and leaf size that inner cross-validation on the scoring metric prefers.
+
+    The out-of-fold scores of all grid points are one table, so the exact metric of every point and inner fold
+    comes from one pass over it. Of equal points the first of the grid wins.
+    """
+    estimator = Pipeline(stages=[*stages, _estimator(is_regression, seed, max_iter)])
+    inner = pin(train.withColumn("_inner", F.pmod(md5int(F.lit(seed), "entity_id"), F.lit(inner_folds)).cast("int")))
+    params = estimator.getStages()[-1]
+    points = [{params.getParam(n): v for n, v in zip(grid, values)} for values in product(*grid.values())]
+
+    def out_of_fold(task: tuple[int, int]) -> DataFrame:
+        point, fold = task
+        model = estimator.fit(inner.filter(F.col("_inner") != fold), points[point])
+        scored = _scored(model, inner.filter(F.col("_inner") == fold), is_regression)
+        return scored.select(F.lit(point).alias("point"), F.lit(fold).alias("inner"), "target", "score")
+
+    tasks = [(point, fold) for point in range(len(points)) for fold in range(inner_folds)]
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(inheritable_thread_target(train.sparkSession)(out_of_fold), tasks)
+    scores = _metric(pin(reduce(DataFrame.unionByName, parts)), ["point", "inner"], scoring)
+    means = {r["point"]: r["mean"] for r in scores.groupBy("point").agg(F.avg(scoring).alias("mean")).collect()}
+    best = max(range(len(points)), key=lambda p: (means.get(p) is not None, means.get(p) or 0.0, -p))
+    return estimator.fit(train, points[best])
 
 
 def cv_boosted(
@@ -260,7 +219,7 @@ def cv_boosted(
 ) -> DataFrame:
     """Out-of-fold predictions of boosted trees: ``(entity_id, repeat, fold, target, prediction, score)``.
 
-    Missing features are 0 and flagged, as MLlib trees take no nulls.
+    Missing features take the side that a tree learns for them (``_prepared``).
     """
     prepared, stages = _prepared(rows, columns)
     prepared = pin(prepared)
@@ -273,9 +232,7 @@ def cv_boosted(
             model = grid_search(train, stages, is_regression, scoring, seed, max_iter, grid)
         else:
             model = Pipeline(stages=[*stages, _estimator(is_regression, seed, max_iter)]).fit(train)
-        scored = model.transform(test)
-        score = F.col("prediction") if is_regression else vector_to_array("probability")[1]
-        parts.append(scored.select("entity_id", "repeat", "fold", "target", "prediction", score.alias("score")))
+        parts.append(_scored(model, test, is_regression).select("entity_id", "repeat", "fold", "target", "prediction", "score"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -294,11 +251,9 @@ def cross_validated_scores(
         predictions = cv_linear(rows, columns)
     else:
         predictions = cv_boosted(rows, columns, is_regression, scoring, seed, tune, **boosting)
-    group = ["repeat", "fold"]
-    if scoring == "r2":
-        return r2_score(predictions, group, y="target")
-    metric = {"average_precision": average_precision, "roc_auc": roc_auc}[scoring]
-    return metric(predictions, group, label="target", score="score")
+    if "score" not in predictions.columns:
+        predictions = predictions.withColumn("score", F.col("prediction"))
+    return _metric(predictions, ["repeat", "fold"], scoring)
 
 
 # --- attribute reconstruction ------------------------------------------------------------------
@@ -329,97 +284,6 @@ def sample_cap(rows: DataFrame, key: str, seed: int, cap: int = SAMPLE_CAP) -> D
     return rows.withColumn("_order", md5int(F.lit(seed), key)).orderBy("_order", key).limit(cap).drop("_order")
 
 
-K_VALUES = (1, 2, 3, 4, 8, 16)
-P_VALUES = (1, 2)
-WEIGHTS = ("uniform", "distance")
-PAIRS_AT_ONCE = 2_000_000
-
-
-def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
-    """Exact pairwise differences, so equal vectors are at distance 0."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, PAIRS_AT_ONCE // max(1, b.size))
-    for i in range(0, len(a), step):
-        gap = np.abs(a[i : i + step, None, :] - b[None, :, :])
-        out[i : i + step] = gap.sum(2) if p == 1 else np.sqrt((gap * gap).sum(2))
-    return out
-
-
-def bounded_rows(rows: DataFrame, cap: int) -> pd.DataFrame:
-    """Rows on the driver, refused when there are more than ``cap``."""
-    found = rows.limit(cap + 1).toPandas()
-    if len(found) > cap:
-        raise ValueError(f"more than {cap} rows: sample them first")
-    return found
-
-
-def knn_neighbours(
-    rows: DataFrame, k: int = max(K_VALUES), p_values: Sequence[int] = P_VALUES, cap: int = SAMPLE_CAP
-) -> DataFrame:
-    """``(id, repeat, fold, p, y, distances, values)``: for each row the ``k`` nearest rows of other
-    folds of the same repeat, nearest first, ties by id. ``rows``: ``(id, repeat, fold, y, vec)``.
-
-    The sampled rows (at most ``cap``) are broadcast; each task scores its share of the rows
-    against them, and every smaller k is read off the one result.
-    """
-    spark = rows.sparkSession
-    points = bounded_rows(rows.select("id", "y", "vec").dropDuplicates(["id"]).orderBy("id"), cap)
-    splits = bounded_rows(rows.select("id", "repeat", "fold"), cap * 100)
-    wide = splits.pivot(index="id", columns="repeat", values="fold").loc[points["id"]].to_numpy()
-    shared = spark.sparkContext.broadcast(
-        (points["id"].to_numpy(), points["y"].to_numpy(float), np.stack(points["vec"].to_numpy()), wide)
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, ys, xs, folds = shared.value
-        for batch in batches:
-            out = []
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                x = np.stack(part["vec"].to_numpy())
-                for p in p_values:
-                    far = _distances(x, xs, p)
-                    for row, dist in zip(part.itertuples(index=False), far):
-                        allowed = np.flatnonzero(folds[:, row.repeat] != row.fold)
-                        near = dist[allowed]
-                        if len(near) > k:  # all rows up to the k-th distance, then ties by id
-                            near_k = np.partition(near, k - 1)[k - 1]
-                            allowed = allowed[near <= near_k]
-                            near = dist[allowed]
-                        best = allowed[np.lexsort((ids[allowed], near))[:k]]
-                        out.append((row.id, row.repeat, row.fold, p, row.y, dist[best], ys[best]))
-            yield pd.DataFrame(out, columns=["id", "repeat", "fold", "p", "y", "distances", "values"])
-
-    schema = "id long, repeat int, fold int, p int, y double, distances array<double>, values array<double>"
-    tasks = spark.sparkContext.defaultParallelism
-    return rows.select("id", "repeat", "fold", "y", "vec").repartition(tasks, "id").mapInPandas(run, schema)
-
-
-def knn_prediction(distances: Column, values: Column, k: int, weights: str) -> Column:
-    near, ys = F.slice(distances, 1, k), F.slice(values, 1, k)
-    if weights == "uniform":
-        return V.mean(ys)
-    exact = F.array_contains(near, 0.0)
-    weight = F.transform(near, lambda d: F.when(exact, (d == 0).cast("double")).otherwise(1 / F.nullif(d, F.lit(0.0))))
-    return V.let(weight, lambda w: V.dot(w, ys) / V.total(w))
-
-
-def knn_predictions(
-    neighbours: DataFrame, k_values: Sequence[int] = K_VALUES, weights: Sequence[str] = WEIGHTS
-) -> DataFrame:
-    """Every (k, p, weights) prediction of each row from its neighbour lists."""
-    cells = [
-        F.struct(
-            F.lit(k).alias("k"),
-            F.lit(w).alias("weights"),
-            knn_prediction(F.col("distances"), F.col("values"), k, w).alias("prediction"),
-        )
-        for k in k_values
-        for w in weights
-    ]
-    return neighbours.select("id", "repeat", "fold", "p", "y", F.inline(F.array(*cells)))
-
-
 def knn_regression(rows: DataFrame, k_values: Sequence[int] = K_VALUES) -> DataFrame:
     """Mean out-of-fold r2 of every (k, p, weights)."""
     predictions = knn_predictions(knn_neighbours(rows, max(k_values)), k_values)
@@ -431,25 +295,17 @@ def knn_cross_validation(
 ) -> DataFrame:
     """Nested search: per outer (repeat, fold), the (k, p, weights) with the best mean inner r2 on the
     training rows, and its r2 on the held-out rows. ``rows``: ``(id, repeat, fold, y, vec)``."""
-    outer = knn_predictions(knn_neighbours(rows, max(k_values)), k_values)
-    held_out = r2_score(outer, ["repeat", "fold", "k", "p", "weights"])
     # every row is a training row of the other folds: one inner split per (repeat, outer fold)
-    splits = rows.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()
-    inner_scores = []
-    for s in splits:
-        train = rows.filter((F.col("repeat") == s["repeat"]) & (F.col("fold") != s["fold"]))
-        inner = train.withColumn("fold", F.pmod(md5int(F.lit(seed), "id"), F.lit(inner_folds)).cast("int")).withColumn(
-            "repeat", F.lit(0)
-        )
-        scored = r2_score(
-            knn_predictions(knn_neighbours(inner, max(k_values)), k_values), ["fold", "k", "p", "weights"]
-        )
-        mean = scored.groupBy("k", "p", "weights").agg(F.avg("r2").alias("inner_r2"))
-        inner_scores.append(mean.withColumns({"repeat": F.lit(s["repeat"]), "fold": F.lit(s["fold"])}))
+    split = F.pmod(md5int(F.lit(seed), "id"), F.lit(inner_folds)).cast("int")
+    outer, inner = inner_neighbours(rows, split, max(k_values))
+    held_out = r2_score(knn_predictions(outer, k_values), ["repeat", "fold", "k", "p", "weights"])
+    scored = r2_score(knn_predictions(inner, k_values), ["repeat", "fold", "inner", "k", "p", "weights"])
+    mean = scored.groupBy("repeat", "fold", "k", "p", "weights").agg(F.round(F.avg("r2"), 9).alias("inner_r2"))
+    # the last digits differ between runs; of equal scores the smallest k and p win, then uniform weights
+    order = F.struct("inner_r2", -F.col("k"), -F.col("p"), "weights")
     chosen = (
-        reduce(DataFrame.unionByName, inner_scores)
-        .groupBy("repeat", "fold")
-        .agg(F.max_by(F.struct("k", "p", "weights"), F.struct("inner_r2", -F.col("k"), -F.col("p"))).alias("best"))
+        mean.groupBy("repeat", "fold")
+        .agg(F.max_by(F.struct("k", "p", "weights"), order).alias("best"))
         .select("repeat", "fold", "best.*")
     )
     return held_out.join(chosen, ["repeat", "fold", "k", "p", "weights"])

@@ -1,18 +1,21 @@
 """Entity vectors fitted on triples: mini-batch gradient descent whose state lives in tables.
 
 Parameters are one table ``(kind, id, vec, m, v)``: value and Adam moments of every entity,
-relation and numeric relation. A step joins the batch's positives and drawn negatives to the
-entity vectors, computes gradients in Arrow batches, sums them per parameter, and writes the
-next generation; the written table is the only link between steps.
+relation and numeric relation, stored in buckets of (kind, id), so that no step shuffles them. A step deals the
+batch's positives and drawn negatives, as ids, into groups; every vector that a group needs is sent to it
+once, however many of its positives use it, and the group sends back one summed gradient for each. The next
+generation is written bucket by bucket; the written table is the only link between steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +26,16 @@ from factloom.functions.hashing import draw, md5int, unit
 from factloom.functions.numeric import bin_row, random_vector, scale_values
 from factloom.functions.ordered import dense_ids, number_copies
 from factloom.operators.sampling import corruption_candidates
-from factloom.session import BROADCAST_BYTES
+from factloom.session import broadcast_if_small, pin
 
 ENTITY, RELATION, NUMBER, LOSS = 0, 1, 2, 3
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 CELLS_AT_ONCE = 4_000_000
 
-PARAM_SCHEMA = "kind int, id long, vec array<double>, m array<double>, v array<double>"
+# Slots (heads, tails, draws) of one group of positives, whose vectors a task holds at a time.
+SLOTS_PER_GROUP = 50_000
+
+PARAM_SCHEMA = "kind int, id long, vec array<float>, m array<float>, v array<float>"
 
 
 @dataclass(frozen=True)
@@ -48,7 +54,7 @@ class FitConfig:
     p: int = 1
     negatives: int = 10
     lr: float = 1e-3
-    n_batches: int = 8
+    batch_size: int = 100_000
     seed: int = 0
 
     @property
@@ -73,7 +79,7 @@ class FitConfig:
 
 
 def training_rows(triples: DataFrame, config: FitConfig) -> DataFrame:
-    """Positives ``(pos_id, batch, head, rel, kind, tail_id, tail_val)``, copies kept, numeric tails
+    """Positives ``(pos_id, head, rel, kind, tail_id, tail_val)``, copies kept, numeric tails
     scaled; with ``bins`` a numeric tail becomes the negative id of its bin."""
     cat = triples.filter("kind = 'cat'").select("head", "rel", "kind", "tail_id", F.lit(None).cast("double").alias("tail_val"))
     rows = cat
@@ -88,9 +94,11 @@ def training_rows(triples: DataFrame, config: FitConfig) -> DataFrame:
     key = ["head", "rel", "kind", "tail_id", "tail_val"]
     copies = number_copies(rows.select(*key), "_copy")
     pos_id = md5int(F.lit(config.seed), "head", "rel", "tail_id", "tail_val", "_copy")
-    return copies.select(pos_id.alias("pos_id"), *key).withColumn(
-        "batch", F.pmod(F.col("pos_id"), F.lit(config.n_batches)).cast("int")
-    )
+    return copies.select(pos_id.alias("pos_id"), *key)
+
+
+def batch_count(n: int, config: FitConfig) -> int:
+    return max(1, -(-n // config.batch_size))
 
 
 def start_params(rows: DataFrame, config: FitConfig) -> DataFrame:
@@ -129,7 +137,7 @@ def start_params(rows: DataFrame, config: FitConfig) -> DataFrame:
     params = parts[0]
     for part in parts[1:]:
         params = params.unionByName(part)
-    return params.select("kind", "id", "vec", zeros.alias("m"), zeros.alias("v"))
+    return params.select("kind", "id", *[c.cast("array<float>").alias(n) for c, n in ((F.col("vec"), "vec"), (zeros, "m"), (zeros, "v"))])
 
 
 def _unit_length(vec: Column) -> Column:
@@ -158,7 +166,7 @@ def batch_slots(positives: DataFrame, candidates: DataFrame, choices: DataFrame,
     )
     draws = (
         positives.select(*base, F.explode(F.sequence(F.lit(0), F.lit(config.negatives - 1))).alias("k"))
-        .join(F.broadcast(choices), "rel")
+        .join(broadcast_if_small(choices, 64), "rel")
         .withColumn("position", draw(F.col("n_choices"), F.lit(config.seed), F.lit(epoch), "pos_id", "k"))
         .join(candidates, ["rel", "position"])
         .select(
@@ -172,44 +180,29 @@ def batch_slots(positives: DataFrame, candidates: DataFrame, choices: DataFrame,
     return own.unionByName(draws)
 
 
-def _small(df: DataFrame, rows: int, width: int) -> DataFrame:
-    """Broadcast when the known size allows it; otherwise leave the choice to the planner."""
-    return F.broadcast(df) if rows * width * 8 <= BROADCAST_BYTES else df
-
-
-def batch_inputs(slots: DataFrame, params: DataFrame, config: FitConfig, n_relations: int) -> DataFrame:
-    """One row per positive: ids, sides, values and concatenated vectors of its slots, and the
-    vectors of its relation."""
-    entities = params.filter(F.col("kind") == ENTITY).select(F.col("id").alias("_key"), "vec")
-    # numeric slots have no entity: spread-out keys that match none
-    keyed = slots.withColumn("_key", F.coalesce("id", -1 - F.col("pos_id")))
-    zeros = F.array_repeat(F.lit(0.0), config.width)
-    joined = keyed.join(entities, "_key", "left").select(
-        "pos_id", "head", "rel", "kind", F.struct("slot", "side", "id", "x", F.coalesce("vec", zeros).alias("vec")).alias("s")
-    )
+def grouped_positives(slots: DataFrame, groups: int) -> DataFrame:
+    """``(grp, pos_id, rel, numeric, s)``: one row for each positive with its slots, as ids, dealt into groups."""
     # negatives + 2 entries per positive
-    rows = joined.groupBy("pos_id", "head", "rel", "kind").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    relations = params.filter(F.col("kind") == RELATION).select(F.col("id").cast("int").alias("rel"), F.col("vec").alias("rel_vec"))
-    rows = rows.join(_small(relations, n_relations, config.relation_width), "rel")
-    if config.numeric and config.number_width:
-        numbers = params.filter(F.col("kind") == NUMBER).select(F.col("id").cast("int").alias("rel"), F.col("vec").alias("num_vec"))
-        rows = rows.join(_small(numbers, n_relations, config.number_width), "rel", "left")
-    else:
-        rows = rows.withColumn("num_vec", F.lit(None).cast("array<double>"))
-    no_number = F.array_repeat(F.lit(0.0), config.number_width)
-    field = lambda name: F.transform("s", lambda e: e[name])
+    rows = slots.groupBy("pos_id", "rel", "kind").agg(F.array_sort(F.collect_list(F.struct("slot", "side", "id", "x"))).alias("s"))
     return rows.select(
+        F.pmod(F.xxhash64("pos_id"), F.lit(groups)).cast("int").alias("grp"),
+        "pos_id",
         F.col("rel").cast("long").alias("rel"),
         (F.col("kind") == "num").alias("numeric"),
-        F.transform("s", lambda e: F.coalesce(e["id"], F.lit(0).cast("long"))).alias("ids"),
-        field("side").alias("sides"),
-        F.transform("s", lambda e: F.coalesce(e["x"], F.lit(0.0))).alias("xs"),
-        F.flatten(field("vec")).alias("vecs"),
-        "rel_vec",
-        F.coalesce("num_vec", no_number).alias("num_vec"),
+        "s",
     )
 
 
+def group_vectors(rows: DataFrame, params: DataFrame, config: FitConfig) -> DataFrame:
+    """``(grp, kind, id, vec)``: every parameter that a group needs, once."""
+    need = [F.transform("s", lambda e: F.struct(F.lit(ENTITY).alias("kind"), e["id"].alias("id")))]
+    need.append(F.array(F.struct(F.lit(RELATION).alias("kind"), F.col("rel").alias("id"))))
+    if config.numeric and config.number_width:
+        need.append(F.array(F.struct(F.lit(NUMBER).alias("kind"), F.when(F.col("numeric"), F.col("rel")).alias("id"))))
+    wanted = rows.select("grp", F.inline(F.concat(*need))).filter("id is not null").distinct()
+    return wanted.join(params.select("kind", "id", "vec"), ["kind", "id"]).select("grp", "kind", "id", "vec")
+
+
 def score_and_slopes(model: str, p: int, h, r, t):
     """Scores and their derivatives by head, relation and tail, for arrays of triples.
 
@@ -317,78 +310,132 @@ def chunk_gradients(config: FitConfig, rel, numeric, ids, sides, xs, vecs, rel_v
     return out
 
 
-def _gradient_task(config: FitConfig):
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+
+
+def _group_gradients(config: FitConfig, step: int):
+    """Gradients of one group's positives, summed for each parameter; the loss has the step as its id."""
     slots = config.negatives + 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
-            rel = batch.column("rel").to_numpy()
-            numeric = batch.column("numeric").to_numpy(zero_copy_only=False).astype(bool)
-            ids, sides, xs = (flat(c).reshape(n, slots) for c in ("ids", "sides", "xs"))
-            vecs = flat("vecs").reshape(n, slots, config.width)
-            rel_vec = flat("rel_vec").reshape(n, config.relation_width)
-            num_vec = flat("num_vec").reshape(n, config.number_width)
-            step = max(1, CELLS_AT_ONCE // (slots * config.width))
-            for i in range(0, n, step):
-                cut = slice(i, i + step)
-                for kind, keys, grads in chunk_gradients(
-                    config, rel[cut], numeric[cut], ids[cut], sides[cut], xs[cut], vecs[cut], rel_vec[cut], num_vec[cut]
-                ):
-                    size = grads.shape[1]
-                    values = pa.ListArray.from_arrays(
-                        pa.array(np.arange(len(keys) + 1, dtype=np.int32) * size), pa.array(grads.ravel().astype(float))
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), values],
-                        names=["kind", "id", "grad"],
-                    )
+    def run(positives: pa.Table, vectors: pa.Table) -> pa.Table:
+        order = pa.compute.sort_indices(positives.column("pos_id"))
+        positives = positives.take(order).combine_chunks()
+        n = positives.num_rows
+        kinds = vectors.column("kind").to_numpy()
+        widths = {ENTITY: config.width, RELATION: config.relation_width, NUMBER: config.number_width}
+        ids, values, sums = {}, {}, {LOSS: np.zeros((1, 1))}
+        for kind, width in widths.items():
+            own = vectors.filter(pa.array(kinds == kind)).sort_by("id")
+            ids[kind], values[kind] = own.column("id").to_numpy(), _matrix(own.column("vec"), width)
+            sums[kind] = np.zeros(values[kind].shape)
+            # what a slot without entity, or a relation without numbers, is looked up as
+            values[kind] = np.vstack([values[kind], np.zeros((1, width))])
+        cells = positives.column("s").combine_chunks().flatten()
+        known = ~cells.field("id").is_null().to_numpy(zero_copy_only=False).reshape(n, slots)
+        entity = cells.field("id").fill_null(0).to_numpy().reshape(n, slots)
+        sides = cells.field("side").to_numpy().reshape(n, slots)
+        xs = cells.field("x").fill_null(0.0).to_numpy(zero_copy_only=False).reshape(n, slots)
+        rel = positives.column("rel").to_numpy()
+        numeric = positives.column("numeric").to_numpy().astype(bool)
+        place = np.where(known, np.searchsorted(ids[ENTITY], entity), len(ids[ENTITY]))
+        rel_at = np.searchsorted(ids[RELATION], rel)
+        has_number = np.isin(rel, ids[NUMBER])
+        num_at = np.where(has_number, np.searchsorted(ids[NUMBER], rel), len(ids[NUMBER]))
+        size = max(1, CELLS_AT_ONCE // (slots * config.width))
+        for i in range(0, n, size):
+            cut = slice(i, i + size)
+            for kind, keys, grads in chunk_gradients(
+                config, rel[cut], numeric[cut], entity[cut], sides[cut], xs[cut],
+                values[ENTITY][place[cut]], values[RELATION][rel_at[cut]], values[NUMBER][num_at[cut]],
+            ):
+                sums[kind][0 if kind == LOSS else np.searchsorted(ids[kind], keys)] += grads
+        ids[LOSS] = np.array([step])
+        made = []
+        for kind, grads in sums.items():
+            size = grads.shape[1]
+            ends = pa.array(np.arange(len(grads) + 1, dtype=np.int32) * size)
+            lists = pa.ListArray.from_arrays(ends, pa.array(grads.ravel()))
+            columns = [pa.array(np.full(len(grads), kind, np.int32)), pa.array(ids[kind].astype(np.int64)), lists]
+            made.append(pa.table(columns, names=["kind", "id", "grad"]))
+        return pa.concat_tables(made)
 
     return run
 
 
-def batch_gradients(inputs: DataFrame, config: FitConfig) -> DataFrame:
-    """``(kind, id, grad)`` summed over the batch: within Arrow batches, then map-side, then final."""
-    partial = inputs.mapInArrow(_gradient_task(config), "kind int, id long, grad array<double>")
+def batch_gradients(rows: DataFrame, params: DataFrame, config: FitConfig, step: int) -> DataFrame:
+    """``(kind, id, grad)`` summed over the batch: within each group, then map-side, then final."""
+    vectors = group_vectors(rows, params, config)
+    partial = rows.groupBy("grp").cogroup(vectors.groupBy("grp")).applyInArrow(
+        _group_gradients(config, step), "kind int, id long, grad array<double>"
+    )
     summed = Summarizer.sum(array_to_vector("grad"))
     return partial.groupBy("kind", "id").agg(vector_to_array(summed).alias("grad"))
 
 
-def adam_update(params: DataFrame, gradients: DataFrame, config: FitConfig, step: int, entries: int, epoch: int, batch: int) -> DataFrame:
+def adam_update(params: DataFrame, gradients: DataFrame, config: FitConfig, step: int, entries: int, epoch: int) -> DataFrame:
     """Next generation: every row moves by Adam (rows without gradient by their moments alone);
-    the batch loss is added as a row of kind LOSS."""
-    grad = F.coalesce(F.transform("grad", lambda g: g / entries), F.transform("vec", lambda _: F.lit(0.0)))
-    learned = params.filter(F.col("kind") != LOSS).join(gradients.filter(F.col("kind") != LOSS), ["kind", "id"], "left")
-    moments = learned.select("kind", "id", "vec", "m", "v", grad.alias("g")).select(
-        "kind",
-        "id",
-        "vec",
+    the batch loss is added as a row of kind LOSS, whose id is the step and whose ``m`` holds the epoch."""
+    mean = F.transform("grad", lambda g: g / entries)
+    # Only losses are new; the outer join leaves every parameter in its bucket.
+    both = params.join(gradients, ["kind", "id"], "full")
+    moments = both.select(
+        "kind", "id", "vec", "m", "v", mean.alias("mean"),
+        F.coalesce(mean, F.transform("vec", lambda _: F.lit(0.0))).alias("g"),
+    ).select(
+        "kind", "id", "vec", "mean", F.col("m").alias("old"),
         F.zip_with("m", "g", lambda m, g: BETA1 * m + (1 - BETA1) * g).alias("m"),
         F.zip_with("v", "g", lambda v, g: BETA2 * v + (1 - BETA2) * g * g).alias("v"),
-    )
+    )
     rate, scale = config.lr / (1 - BETA1**step), (1 - BETA2**step) ** 0.5
     move = F.zip_with("m", "v", lambda m, v: rate * m / (F.sqrt(v) / scale + EPSILON))
-    moved = moments.withColumn("vec", F.zip_with("vec", move, lambda x, s: x - s))
+    moved = F.zip_with("vec", move, lambda x, s: x - s)
     if config.model in ("translation", "bilinear"):
         bounded = (F.col("kind") == ENTITY) & (F.col("id") >= 0)
-        moved = moved.withColumn("vec", F.when(bounded, _unit_length(F.col("vec"))).otherwise(F.col("vec")))
-    empty = F.array().cast("array<double>")
-    loss = gradients.filter(F.col("kind") == LOSS).select(
-        "kind",
-        F.lit(epoch * config.n_batches + batch).cast("long").alias("id"),
-        F.transform("grad", lambda g: g / entries).alias("vec"),
-        empty.alias("m"),
-        empty.alias("v"),
-    )
-    return moved.unionByName(params.filter(F.col("kind") == LOSS)).unionByName(loss)
+        moved = F.when(bounded, _unit_length(moved)).otherwise(moved)
+    loss = F.col("kind") == LOSS
+    cells = {
+        "vec": F.when(loss, F.coalesce(F.col("vec").cast("array<double>"), "mean")).otherwise(moved),
+        "m": F.when(loss, F.coalesce(F.col("old").cast("array<double>"), F.array(F.lit(float(epoch))))).otherwise(F.col("m")),
+        "v": F.when(~loss, F.col("v")).otherwise(F.array().cast("array<double>")),
+    }
+    return moments.select("kind", "id", *[c.cast("array<float>").alias(n) for n, c in cells.items()])
 
 
 # --- the fit -----------------------------------------------------------------------------------
 
 
+class Generations:
+    """Generations of parameters as tables in buckets of (kind, id), two at a time, in ``folder``."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.number = spark, folder, 0
+        self.name = f"fit_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _table(self, number: int) -> str:
+        return f"{self.name}_{number % 2}"
+
+    def write(self, params: DataFrame) -> None:
+        """Store the next generation, whose rows lie in buckets already; the one before the last is dropped."""
+        self.number += 1
+        table = self._table(self.number)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        params.write.mode("overwrite").bucketBy(self.buckets, "kind", "id").option(
+            "path", f"{self.folder}/generation{self.number % 2}"
+        ).saveAsTable(table)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self._table(self.number))
+
+    def close(self) -> DataFrame:
+        """The last generation, by its path; the catalogue entries are dropped (the files stay)."""
+        for number in (0, 1):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(number)}")
+        return _read(self.spark, f"{self.folder}/generation{self.number % 2}")
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PARAM_SCHEMA).parquet(path)
 
@@ -406,48 +453,50 @@ def fit_vectors(
 
     Working tables and stored epochs go to ``folder``, which all executors share. A stored epoch
     of the same ``config_id`` at or below ``epochs`` is continued from. Two generations of
-    parameters exist at a time, so a lost executor only repeats the step in progress.
+    parameters exist at a time, so a lost executor only repeats the step in progress. Batches hold about
+    ``config.batch_size`` positives each.
     """
     spark = triples.sparkSession
     work = f"{folder}/work/{config_id}"
-    training_rows(triples, config).write.mode("overwrite").partitionBy("batch").parquet(f"{work}/positives")
+    rows = pin(training_rows(triples, config))
+    n_batches = batch_count(rows.count(), config)
+    batched = rows.withColumn("batch", F.pmod(F.col("pos_id"), F.lit(n_batches)).cast("int"))
+    batched.repartition("batch", F.pmod(F.xxhash64("pos_id"), F.lit(8))).write.mode("overwrite").partitionBy(
+        "batch"
+    ).parquet(f"{work}/positives")
     positives = spark.read.parquet(f"{work}/positives")
     corruption_candidates(positives).write.mode("overwrite").parquet(f"{work}/candidates")
     candidates = spark.read.parquet(f"{work}/candidates")
     choices = candidates.groupBy("rel").agg(F.count(F.lit(1)).alias("n_choices"))
-    # one row per batch and per relation: schema-sized
+    # one row per batch: as many as steps in an epoch
     sizes = {r["batch"]: r["count"] for r in positives.groupBy("batch").count().collect()}
-    n_relations = choices.count()
     per_positive = config.negatives + (1 if config.loss == "softplus" else 0)
 
     done = stored_epoch(spark, folder, config_id, epochs) if resume else 0
-    generation = 0
-    if done:
-        load_params(spark, folder, config_id, done).write.mode("overwrite").parquet(f"{work}/generation0")
-    else:
-        start_params(positives, config).write.mode("overwrite").parquet(f"{work}/generation0")
+    state = Generations(spark, work)
+    start = load_params(spark, folder, config_id, done) if done else start_params(positives, config)
+    state.write(start.repartition(state.buckets, "kind", "id"))
     step = done * len(sizes)
     for epoch in range(done + 1, epochs + 1):
         for batch in sorted(sizes):
             step += 1
-            params = _read(spark, f"{work}/generation{generation}")
-            rows = positives.filter(F.col("batch") == batch)
-            slots = batch_slots(rows, candidates, choices, config, epoch)
-            gradients = batch_gradients(batch_inputs(slots, params, config, n_relations), config)
+            params = state.read()
+            slots = batch_slots(positives.filter(F.col("batch") == batch), candidates, choices, config, epoch)
+            groups = max(state.buckets, -(-sizes[batch] * (config.negatives + 2) // SLOTS_PER_GROUP))
+            grouped_positives(slots, groups).write.mode("overwrite").parquet(f"{work}/slots")
+            gradients = batch_gradients(spark.read.parquet(f"{work}/slots"), params, config, step)
             entries = sizes[batch] * per_positive
-            updated = adam_update(params, gradients, config, step, entries, epoch, batch)
-            generation = 1 - generation
-            updated.write.mode("overwrite").parquet(f"{work}/generation{generation}")
+            state.write(adam_update(params, gradients, config, step, entries, epoch))
         if epoch in save_epochs:
-            save_params(_read(spark, f"{work}/generation{generation}"), folder, config_id, epoch)
-    return _read(spark, f"{work}/generation{generation}")
+            save_params(state.read(), folder, config_id, epoch)
+    return state.close()
 
 
 def epoch_loss(params: DataFrame, config: FitConfig, n_triples: int) -> DataFrame:
     """``(epoch, loss)``: the batch losses of an epoch over the number of training triples."""
     losses = params.filter(F.col("kind") == LOSS)
-    return losses.groupBy(F.expr(f"id div {config.n_batches}").cast("int").alias("epoch")).agg(
-        (F.sum(F.col("vec")[0]) / n_triples).alias("loss")
+    return losses.groupBy(F.col("m")[0].cast("int").alias("epoch")).agg(
+        (F.sum(F.col("vec")[0].cast("double")) / n_triples).alias("loss")
     )
 
 
@@ -481,7 +530,7 @@ def load_params(spark: SparkSession, folder: str, config_id: str, epoch: int) ->
 def export_vectors(params: DataFrame, config: FitConfig) -> DataFrame:
     """``(entity_id, vec)`` without biases and bins."""
     ents = params.filter((F.col("kind") == ENTITY) & (F.col("id") >= 0))
-    return ents.select(F.col("id").alias("entity_id"), F.slice("vec", 1, config.dim).alias("vec"))
+    return ents.select(F.col("id").alias("entity_id"), F.slice("vec", 1, config.dim).cast("array<double>").alias("vec"))
 
 
 # --- skip-gram on tables -----------------------------------------------------------------------
@@ -522,7 +571,7 @@ def fit_skipgram_vectors(
 ) -> DataFrame:
     """``(word, vec)`` by skip-gram with negative sampling, for vocabularies of any size."""
     words = dense_ids(walks.select(F.explode("walk").alias("word")).distinct(), "word", "word_id")
-    config = FitConfig(model="dot", dim=size, negatives=negatives, lr=lr, n_batches=1, seed=seed)
+    config = FitConfig(model="dot", dim=size, negatives=negatives, lr=lr, seed=seed)
     params = fit_vectors(skipgram_triples(walks, words, window), config, epochs, folder, "skipgram", resume=False)
     vectors = export_vectors(params, config).filter("entity_id % 2 = 0")
     return vectors.join(words, F.col("entity_id") == F.col("word_id") * 2).select("word", "vec")

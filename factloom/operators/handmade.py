@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# one_hot refuses a column with more distinct values than this: the result would be a table
-# wider than it is useful, and the value list is held by the driver.
-MAX_CATEGORIES = 10_000
+from factloom.functions.ordered import dense_ids
+from factloom.session import pin
 
 
 def aggregate_by_key(target: DataFrame, facts: DataFrame, key: str, **features: Column) -> DataFrame:
@@ -46,11 +45,9 @@ def one_hot(
     df: DataFrame, col: str, prefix: str | None = None, sep: str = " == ", missing: bool = False
 ) -> DataFrame:
     """Replace ``col`` by a 0/1 column per distinct value, in value order; with ``missing``, one more
-    for nulls."""
+    for nulls. The values become column names; ``one_hot_index`` takes any number of them."""
     prefix = col if prefix is None else prefix
-    values = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} values")
+    values = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect()]
     columns = [
         F.coalesce((F.col(col) == v).cast("int"), F.lit(0)).alias(f"{prefix}{sep}{v}") for v in sorted(values)
     ]
@@ -60,6 +57,28 @@ def one_hot(
     return df.select(*kept, *columns)
 
 
+def category_dictionary(df: DataFrame, col: str) -> DataFrame:
+    """``(index, value)``: a dense number for every distinct value, as text; stored."""
+    values = df.select(F.col(col).cast("string").alias("value")).filter("value is not null").distinct()
+    return pin(dense_ids(values, "value", "index"))
+
+
+def one_hot_index(df: DataFrame, col: str, dictionary: DataFrame, out: str, missing: bool = False) -> DataFrame:
+    """``col`` as a sparse one-hot row: ``out`` has the ``size`` and the ``index`` of the only 1.
+
+    Values outside the dictionary have no 1; with ``missing`` a null has the last place.
+    """
+    size = dictionary.count() + missing
+    keys = dictionary.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
+    null = F.lit(size - 1 if missing else None).cast("long")
+    # nulls match nothing; spread-out keys keep them from meeting in one task
+    rows = df.withColumn("_value", F.coalesce(F.col(col).cast("string"), F.concat(F.lit("\0"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))))
+    joined = rows.join(keys, "_value", "left")
+    index = F.when(F.col(col).isNull(), null).otherwise(F.col("_index"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != col]
+    return joined.select(*kept, F.struct(F.lit(size).cast("long").alias("size"), index.alias("index")).alias(out))
+
+
 def micros(col: str) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp"))
 

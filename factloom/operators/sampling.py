@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.hashing import draw
 from factloom.functions.ordered import ROWS_PER_BUCKET, number_in_groups
-from factloom.session import pin
+from factloom.session import pin, stored_broadcast
 
 HEAD, TAIL = 0, 1
 
@@ -30,10 +30,9 @@ def corruption_candidates(triples: DataFrame, rows_per_bucket: int = ROWS_PER_BU
         ).distinct()
     )
     numbered = number_in_groups(members, ["rel", "side"], ["cand_id", "cand_val"], "position", rows_per_bucket)
-    # one row per relation: broadcast
     heads = members.filter(F.col("side") == HEAD).groupBy("rel").agg(F.count(F.lit(1)).alias("n_heads"))
     shift = F.when(F.col("side") == TAIL, F.col("n_heads")).otherwise(0)
-    return numbered.join(F.broadcast(heads), "rel").select(
+    return numbered.join(stored_broadcast(heads, 64), "rel").select(
         "rel", "side", "cand_id", "cand_val", (F.col("position") + shift).alias("position")
     )
 
@@ -49,7 +48,7 @@ def corrupt_triples(positives: DataFrame, candidates: DataFrame, k: int, seed: i
     choices = candidates.groupBy("rel").agg(F.count(F.lit(1)).alias("n_choices"))
     draws = (
         positives.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .join(F.broadcast(choices), "rel")
+        .join(stored_broadcast(choices, 64), "rel")
         .withColumn("position", draw(F.col("n_choices"), F.lit(seed), "pos_id", "k"))
     )
     is_head = F.col("side") == HEAD

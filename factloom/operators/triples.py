@@ -15,11 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.hashing import md5int
 from factloom.functions.ordered import dense_ids, number_copies
-from factloom.session import pin
-
-# The number of relations is a property of the schema, not of the data; dictionaries of up
-# to this many relations are broadcast.
-MAX_RELATIONS = 65_535
+from factloom.session import pin, stored_broadcast
 
 
 @dataclass(frozen=True)
@@ -164,7 +160,7 @@ def encode_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame
     # them from piling up in the task of the null key
     keyed = triples.withColumn("_tail_key", F.coalesce("tail", F.concat(F.lit("\u0000"), "head")))
     return (
-        keyed.join(F.broadcast(rels), "rel")
+        keyed.join(stored_broadcast(rels, 128), "rel")
         .join(tails, "_tail_key", "left")
         .join(heads, F.col("head") == F.col("head_name"))
         .select(
@@ -213,7 +209,7 @@ def decode_triples(encoded: DataFrame, entities: DataFrame, relations: DataFrame
     num = encoded.filter("tail_id is null").withColumn("tail", F.lit(None).cast("string"))
     return (
         cat.unionByName(num)
-        .join(F.broadcast(rels), "rel")
+        .join(stored_broadcast(rels, 128), "rel")
         .join(heads, "head")
         .select(
             F.col("head_name").alias("head"),

@@ -11,17 +11,7 @@ from factloom.plans.registry import query, r4, scratch, sql_r4, table
 from factloom.session import pin
 
 N_CAT = len(X.RELATIONS) - X.N_NUMERIC
-RELS = (
-    "c_acctbal",
-    "c_mktsegment",
-    "c_nationkey",
-    "o_custkey",
-    "o_totalprice",
-    "o_orderpriority",
-    "n_regionkey",
-    "l_quantity",
-    "contains",
-)
+RELS = tuple(X.RELATIONS)
 
 
 def col_name(rel: str, inverse: bool = False) -> str:
@@ -158,7 +148,6 @@ def target_scope(spark, d):
     return D.target_scope(links(spark, d), customers(spark, d))
 
 
-FLAG_RELS = ("c_acctbal", "c_nationkey", "o_custkey", "o_totalprice", "o_orderstatus", "n_regionkey")
 _ORD, _PRICE, _STATUS = col_name("o_custkey", True), col_name("o_totalprice"), col_name("o_orderstatus")
 
 
@@ -171,7 +160,7 @@ _ORD, _PRICE, _STATUS = col_name("o_custkey", True), col_name("o_totalprice"), c
   FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
 )
 def deep_features_depth2(spark, d):
-    triples = pin(X.graph(spark, d, *FLAG_RELS))
+    triples = pin(X.graph(spark, d, *RELS))
     matrix = D.deep_features(triples, customers(spark, d), 2, X.N_NUMERIC, N_CAT)
     col = lambda name: F.col(f"`{name}`")
     return matrix.select(
@@ -187,6 +176,39 @@ def deep_features_depth2(spark, d):
     )
 
 
+def through_vectors(features, cat, depth):
+    """Features as sparse rows over the dictionary of a depth, read back in long form."""
+    num, nominal = D.feature_names(cat, depth)
+    dictionary = D.feature_dictionary(features.sparkSession, [*num, *nominal])
+    return rounded(D.vector_features(pin(D.feature_vectors(features, dictionary)), dictionary))
+
+
+SQL_PRESENT = "num IS NOT NULL OR cat IS NOT NULL"
+
+
+@query(
+    "deep_vectors_depth3",
+    f"""{SQL_LINKS}, {SQL_CHILDREN}, {sql_through('direct', 'hop2')}, {sql_through('children', 'hop3')},
+  every AS (SELECT * FROM direct UNION ALL SELECT * FROM children UNION ALL SELECT * FROM hop2 UNION ALL SELECT * FROM hop3)
+  {sql_long('every')} WHERE head IN ({SQL_CUSTOMERS}) AND ({SQL_PRESENT})""",
+)
+def deep_vectors_depth3(spark, d):
+    """Sparse feature rows of depth 3 for every customer."""
+    features, cat = D.long_features(pin(X.graph(spark, d, *RELS)), customers(spark, d), 3, X.N_NUMERIC, N_CAT)
+    return through_vectors(features, cat, 3)
+
+
+@query(
+    "deep_vectors_all_entities",
+    f"""{SQL_LINKS}, {SQL_CHILDREN}, every AS (SELECT * FROM direct UNION ALL SELECT * FROM children)
+  {sql_long('every')} WHERE {SQL_PRESENT}""",
+)
+def deep_vectors_all_entities(spark, d):
+    """Sparse feature rows of depth 1 for every entity of the graph."""
+    features, cat = D.long_features(pin(X.graph(spark, d, *RELS)), None, 1, X.N_NUMERIC, N_CAT)
+    return through_vectors(features, cat, 1)
+
+
 SQL_FLAGSHIP = f"""SELECT 'customer:' || c_custkey AS customer, {sql_r4('any_value(c_acctbal)')} AS balance,
   'segment:' || any_value(c_mktsegment) AS segment, count(o_orderkey)::DOUBLE AS n_orders,
   {sql_r4('coalesce(sum(o_totalprice), 0)')} AS total_price, {sql_r4('avg(o_totalprice)')} AS mean_price,
@@ -293,7 +315,7 @@ def feature_count(spark, d):
 @query("feature_registry")
 def feature_registry(spark, d):
     """Features of two depths stored and registered, then the depth-1 matrix looked up and read."""
-    root, triples = scratch(spark, "features"), pin(X.graph(spark, d, *FLAG_RELS))
+    root, triples = scratch(spark, "features"), pin(X.graph(spark, d, *RELS))
     for depth in (0, 1):
         matrix = D.deep_features(triples, customers(spark, d), depth, X.N_NUMERIC, N_CAT)
         path = f"{root}/depth={depth}"

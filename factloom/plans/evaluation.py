@@ -161,19 +161,34 @@ def cv_linear(spark, d):
     return scores.withColumn("r2", r4("r2"))
 
 
-@query("cv_linear_many_features")
+SQL_CV2 = f"""WITH x AS (SELECT l_orderkey, sum(l_extendedprice) / 1000 AS x0, count(*)::DOUBLE AS x1 FROM lineitem GROUP BY 1),
+  r AS (SELECT o_orderkey, o_totalprice / 1000 AS y, x0, x1, repeat, {SQL_FOLD} % 5 AS fold FROM orders JOIN x ON l_orderkey = o_orderkey, range(2) t(repeat)),
+  f AS (SELECT fold, repeat FROM r GROUP BY ALL),
+  c AS (SELECT f.repeat, f.fold, avg(x0) AS m0, avg(x1) AS m1, avg(y) AS my, var_pop(x0) AS s00, var_pop(x1) AS s11, covar_pop(x0, x1) AS s01,
+          covar_pop(x0, y) AS s0y, covar_pop(x1, y) AS s1y FROM f JOIN r ON r.repeat = f.repeat AND r.fold <> f.fold GROUP BY ALL),
+  b AS (SELECT *, (s0y * s11 - s1y * s01) / (s00 * s11 - s01 * s01) AS b0, (s1y * s00 - s0y * s01) / (s00 * s11 - s01 * s01) AS b1 FROM c)
+  SELECT repeat::INTEGER AS repeat, fold::INTEGER AS fold,
+    {sql_r4('1 - sum(pow(y - my - b0 * (x0 - m0) - b1 * (x1 - m1), 2)) / (var_pop(y) * count(*))')} AS r2 FROM r JOIN b USING (repeat, fold) GROUP BY ALL"""
+
+
+@query("cv_linear_many_features", SQL_CV2)
 def cv_linear_many_features(spark, d):
-    return E.cross_validated_scores(orders_matrix(spark, d), ["x0", "x1"], True, "r2", "linear")
+    rows = orders_matrix(spark, d).withColumns({"target": F.col("target") / 1000, "x0": F.col("x0") / 1000})
+    scores = E.cross_validated_scores(rows, ["x0", "x1"], True, "r2", "linear")
+    return scores.withColumn("r2", r4("r2"))
 
 
-def labelled_vectors(spark, d, label):
-    rows = table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("entity_id"), label.cast("double").alias("target"), *[F.col("embedding")[i].alias(f"x{i}") for i in range(8)]
-    )
-    return E.repeated_folds(rows, "entity_id", 1, seed=2, n_folds=2)
+XS = [f"x{i}" for i in range(64)]
 
 
-XS = [f"x{i}" for i in range(8)]
+def labelled_vectors(spark, d, label, stratified=False):
+    """All embeddings as features, in five folds."""
+    rows = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("entity_id"), label.cast("double").alias("target"), *[F.col("embedding")[i].alias(x) for i, x in enumerate(XS)]
+    )
+    if stratified:
+        return E.stratified_folds(rows, "entity_id", "target", 1, seed=2)
+    return E.repeated_folds(rows, "entity_id", 1, seed=2)
 
 
 @query("cv_boosted_regression")
@@ -184,15 +199,14 @@ def cv_boosted_regression(spark, d):
 
 @query("cv_boosted_classification")
 def cv_boosted_classification(spark, d):
-    rows = labelled_vectors(spark, d, F.col("label") < 5)
+    rows = labelled_vectors(spark, d, F.col("label") < 5, stratified=True)
     return E.cross_validated_scores(rows, XS, False, "roc_auc", max_iter=5)
 
 
 @query("grid_search")
 def grid_search(spark, d):
     rows = labelled_vectors(spark, d, F.col("label"))
-    grid = {"maxDepth": (2, 4), "minInstancesPerNode": (4, 20)}
-    return E.cross_validated_scores(rows, XS, True, "r2", tune=True, max_iter=3, grid=grid)
+    return E.cross_validated_scores(rows, XS, True, "r2", tune=True, max_iter=3)
 
 
 # --- reconstruction ------------------------------------------------------------------------------
@@ -229,11 +243,11 @@ def sample_cap(spark, d):
 
 
 def points(spark, d, repeats=1):
-    """The sampled embeddings with their label, in folds."""
+    """All embeddings with their label, in folds."""
     rows = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").cast("double").alias("y"), F.col("embedding").cast("array<double>").alias("vec")
     )
-    return E.repeated_folds(E.sample_cap(rows, "id", seed=0), "id", repeats, seed=6)
+    return E.repeated_folds(rows, "id", repeats, seed=6)
 
 
 SQL_KNN = f"""WITH s AS (SELECT vec_id AS id, label::DOUBLE AS y, embedding::DOUBLE[] AS v, {sql_md5int("'6'", "'0'", 'vec_id')} % 5 AS fold FROM embeddings),
@@ -256,6 +270,27 @@ def knn_regression(spark, d):
     return E.knn_regression(points(spark, d)).withColumn("r2", r4("r2"))
 
 
-@query("knn_cross_validation")
+SQL_NESTED = f"""WITH s AS (SELECT vec_id AS id, label::DOUBLE AS y, embedding::DOUBLE[] AS v, {sql_md5int("'6'", "'0'", 'vec_id')} % 5 AS fold,
+    {sql_md5int("'0'", 'vec_id')} % 3 AS inside FROM embeddings),
+  pairs AS (SELECT a.id, a.fold, a.inside, a.y, b.id AS other, b.fold AS other_fold, b.inside AS other_inside, b.y AS yo,
+      list_sum(list_transform(range(1, len(a.v) + 1), lambda i: abs(a.v[i] - b.v[i]))) AS d1,
+      sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS d2 FROM s a JOIN s b ON a.id <> b.id),
+  held AS (SELECT unnest(range(5)) AS held),
+  views AS (SELECT id, y, NULL AS held, fold AS part, other, yo, d1, d2 FROM pairs WHERE fold <> other_fold
+    UNION ALL SELECT id, y, held, inside, other, yo, d1, d2 FROM pairs, held WHERE fold <> held AND other_fold <> held AND inside <> other_inside),
+  near AS (SELECT *, 1 AS p, d1 AS dist, row_number() OVER (PARTITION BY id, held ORDER BY d1, other) AS rn FROM views
+    UNION ALL SELECT *, 2, d2, row_number() OVER (PARTITION BY id, held ORDER BY d2, other) FROM views),
+  ks AS (SELECT unnest([1, 2, 3, 4, 8, 16]) AS k),
+  preds AS (SELECT id, held, part, p, y, k, avg(yo) AS uniform, CASE WHEN min(dist) = 0 THEN avg(yo) FILTER (dist = 0) ELSE sum(yo / dist) / sum(1 / dist) END AS distance
+    FROM near JOIN ks ON rn <= k GROUP BY ALL),
+  long AS (UNPIVOT preds ON uniform, distance INTO NAME weights VALUE pred),
+  scores AS (SELECT held, part, k, p, weights, 1 - sum(pow(y - pred, 2)) / (var_pop(y) * count(*)) AS r2 FROM long GROUP BY ALL),
+  best AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY inner_r2 DESC, k, p, weights DESC) AS rn FROM
+    (SELECT held, k, p, weights, round(avg(r2), 9) AS inner_r2 FROM scores WHERE held IS NOT NULL GROUP BY ALL))
+  SELECT 0 AS repeat, part::INTEGER AS fold, k::INTEGER AS k, p::INTEGER AS p, s.weights, {sql_r4('r2')} AS r2
+  FROM scores s JOIN best USING (k, p, weights) WHERE s.held IS NULL AND best.held = s.part AND rn = 1"""
+
+
+@query("knn_cross_validation", SQL_NESTED)
 def knn_cross_validation(spark, d):
-    return E.knn_cross_validation(points(spark, d))
+    return E.knn_cross_validation(points(spark, d)).withColumn("r2", r4("r2"))

@@ -83,6 +83,19 @@ def one_hot(spark, d):
     return H.one_hot(rows, "segment", missing=True)
 
 
+@query(
+    "one_hot_index",
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN p_name END AS name FROM part),
+  v AS (SELECT name, row_number() OVER (ORDER BY substr(md5(name), 1, 3), name) - 1 AS i FROM (SELECT DISTINCT name FROM p WHERE name IS NOT NULL)),
+  n AS (SELECT count(*) + 1 AS n FROM v)
+  SELECT p_partkey, n::BIGINT AS size, coalesce(i, n - 1)::BIGINT AS index FROM p LEFT JOIN v USING (name), n""",
+)
+def one_hot_index(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 > 0, F.col("p_name")).alias("name"))
+    hot = H.one_hot_index(rows, "name", H.category_dictionary(rows, "name"), "hot", missing=True)
+    return hot.select("p_partkey", "hot.size", "hot.index")
+
+
 SQL_COURSES = """logs AS (SELECT user_id AS enrollment_id, ts AS time FROM events),
   enrol AS (SELECT DISTINCT user_id AS enrollment_id, 'course' || user_id % 5 AS course_id FROM events),
   dates AS (SELECT 'course' || user_id % 5 AS course_id, min(ts) AS "from", max(ts) AS "to" FROM events GROUP BY 1)"""

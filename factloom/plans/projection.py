@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import project as P
 from factloom.plans.registry import query, r4, sql_r4, table
 
+DIMS = 64  # of the embeddings table
 SQL_PLACES = """places AS (SELECT c_custkey, '<' || replace(c_name, '#', CASE WHEN c_custkey % 5 = 0 THEN '_' ELSE '' END) || '_County,_' || replace(n_name, '_', '') || '>' AS raw,
   CASE WHEN c_custkey % 4 > 0 THEN c_acctbal + 2000 END AS pop FROM customer JOIN nation ON c_nationkey = n_nationkey),
   cleaned AS (SELECT c_custkey, pop, replace(replace(raw[2:-2], '_', ' '), ' County', '') AS place FROM places),
@@ -42,23 +43,23 @@ def named_vectors(spark, d):
 
 @query(
     "one_vector_per_name",
-    "SELECT name, " + ", ".join(f"{sql_r4(f'v[{i + 1}]')} AS v{i}" for i in range(8))
+    "SELECT name, " + ", ".join(f"{sql_r4(f'v[{i + 1}]')} AS v{i}" for i in range(DIMS))
     + " FROM (SELECT 'name' || vec_id % 100 AS name, arg_min(embedding::DOUBLE[], vec_id) AS v FROM embeddings GROUP BY 1)",
 )
 def one_vector_per_name(spark, d):
     rows = P.one_vector_per_name(named_vectors(spark, d), "name", "vec_id")
-    return rows.select("name", *[r4(F.col("vec")[i]).alias(f"v{i}") for i in range(8)])
+    return rows.select("name", *[r4(F.col("vec")[i]).alias(f"v{i}") for i in range(DIMS)])
 
 
 @query(
     "l1_scale_columns",
-    "WITH t AS (SELECT " + ", ".join(f"sum(abs(embedding[{i + 1}]::DOUBLE)) AS t{i}" for i in range(8)) + " FROM embeddings) SELECT vec_id, "
-    + ", ".join(f"{sql_r4(f'100 * embedding[{i + 1}]::DOUBLE / t{i}')} AS v{i}" for i in range(8))
+    "WITH t AS (SELECT " + ", ".join(f"sum(abs(embedding[{i + 1}]::DOUBLE)) AS t{i}" for i in range(DIMS)) + " FROM embeddings) SELECT vec_id, "
+    + ", ".join(f"{sql_r4(f'100 * embedding[{i + 1}]::DOUBLE / t{i}')} AS v{i}" for i in range(DIMS))
     + " FROM embeddings, t",
 )
 def l1_scale_columns(spark, d):
     rows = P.l1_scale_columns(named_vectors(spark, d))
-    return rows.select("vec_id", *[r4(100 * F.col("vec")[i]).alias(f"v{i}") for i in range(8)])
+    return rows.select("vec_id", *[r4(100 * F.col("vec")[i]).alias(f"v{i}") for i in range(DIMS)])
 
 
 @query("project_2d")

@@ -15,7 +15,7 @@ from factloom.plans.numeric import DIM, rels, sql_spread, sql_vector, sql_weight
 from factloom.plans.registry import query, r4, scratch, sql_md5int, sql_r4
 from factloom.session import pin
 
-PART = ("c_acctbal", "c_mktsegment", "c_nationkey", "o_custkey", "o_totalprice", "o_orderstatus", "n_regionkey")
+PART = tuple(X.RELATIONS)
 SQL_KEY = sql_md5int("head", "rel", "coalesce(tail_id, round(tail_val * 100)::BIGINT)")
 SQL_POS = f"WITH graph AS ({X.sql_graph(*PART)}), pos AS (SELECT DISTINCT {SQL_KEY} AS pos_id, * FROM graph)"
 SQL_CAND = f"""members AS (SELECT DISTINCT rel, 0 AS side, head AS cand_id, NULL::DOUBLE AS cand_val FROM graph
@@ -174,7 +174,7 @@ def gate_literals(spark, d):
 
 # --- fitting -------------------------------------------------------------------------------------
 
-FIT = FT.FitConfig(model="relation_scaled", dim=8, numeric="interp", negatives=2, lr=0.05, n_batches=1, seed=3)
+FIT = FT.FitConfig(model="relation_scaled", dim=8, numeric="interp", negatives=2, lr=0.05, batch_size=250_000, seed=3)
 
 
 def fitted(spark, d, config=FIT, epochs=2):
@@ -192,7 +192,7 @@ for _model, _numeric, _loss in (
     @query(f"fit_vectors_{_model}")
     def fit_vectors(spark, d, _model=_model, _numeric=_numeric, _loss=_loss):
         config = FT.FitConfig(
-            model=_model, dim=8, numeric=_numeric, loss=_loss, negatives=2, lr=0.05, n_batches=1, seed=3
+            model=_model, dim=8, numeric=_numeric, loss=_loss, negatives=2, lr=0.05, batch_size=250_000, seed=3
         )
         params, _, _ = fitted(spark, d, config, epochs=1)
         return params

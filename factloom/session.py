@@ -60,6 +60,11 @@ def pin(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 64 * 2**20
 
 
+def stored_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast_if_small`` of a table that is first stored, so that counting it does not make it twice."""
+    return broadcast_if_small(pin(df), row_bytes, limit)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast a table only after counting that it fits; otherwise the planner joins by shuffle."""
     rows = limit // row_bytes

@@ -71,7 +71,7 @@ def test_gradients_equal_finite_differences(case):
     ids=str,
 )
 def test_loss_decreases(spark, tmp_path, case):
-    config = FT.FitConfig(dim=4, negatives=4, lr=0.1, n_batches=1, **case)
+    config = FT.FitConfig(dim=4, negatives=4, lr=0.1, **case)
     params = FT.fit_vectors(toy(spark), config, 4, str(tmp_path))
     losses = [r["loss"] for r in FT.epoch_loss(params, config, 80).orderBy("epoch").collect()]
     assert len(losses) == 4 and losses[-1] < losses[0]
@@ -84,7 +84,7 @@ def rows(params):
 
 
 def test_repeatable_and_resumable(spark, tmp_path):
-    config = FT.FitConfig(dim=4, numeric="interp", negatives=2, lr=0.1, n_batches=2)
+    config = FT.FitConfig(dim=4, numeric="interp", negatives=2, lr=0.1, batch_size=40)
     once = rows(FT.fit_vectors(toy(spark), config, 3, str(tmp_path / "a")))
     FT.fit_vectors(toy(spark).repartition(7), config, 2, str(tmp_path / "b"), save_epochs=(1, 2))
     assert FT.stored_epoch(spark, str(tmp_path / "b"), "run", 9) == 2

@@ -49,10 +49,13 @@ def test_running_totals(skewed):
     assert all(r["rank_total"] == sizes[r["g"]] for r in out)
 
 
-def test_exact_quantiles(skewed):
+@pytest.mark.parametrize(("sorted_rows", "buckets"), [(4096, 4096), (50, 4), (1, 3)])
+def test_exact_quantiles(skewed, monkeypatch, sorted_rows, buckets):
+    monkeypatch.setattr(O, "BUCKETS", buckets)
     rows, df = skewed
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {(r["g"], r["prob_index"]): r["quantile"] for r in O.exact_quantiles(df, ["g"], "x", probs).collect()}
+    found = O.exact_quantiles(df, ["g"], "x", probs, sorted_rows=sorted_rows)
+    got = {(r["g"], r["prob_index"]): r["quantile"] for r in found.collect()}
     for g in {r[0] for r in rows}:
         want = np.quantile([r[1] for r in rows if r[0] == g], probs)
         assert [got[g, i] for i in range(5)] == pytest.approx(list(want))
@@ -64,6 +67,16 @@ def test_evenly_spaced_quantiles_of_a_small_group(spark):
     assert [(r["g"], r["quantile"]) for r in rows] == [("a", 1.0), ("a", 3.0), ("a", 10.0), ("b", 2.0)]
 
 
+def test_quantiles_of_values_over_many_magnitudes_and_of_whole_numbers(spark):
+    rng = random.Random(2)
+    rows = [("a", rng.choice([1, -1]) * 10.0 ** rng.randint(-200, 200)) for _ in range(2000)] + [("b", -0.0), ("b", 0.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = [r["quantile"] for r in O.exact_quantiles(df, ["g"], "x", 20, sorted_rows=10).filter("g = 'a'").orderBy("prob_index").collect()]
+    assert got == pytest.approx(list(np.quantile([x for g, x in rows if g == "a"], np.linspace(0, 1, 20))))
+    whole = spark.range(10_000).select(F.lit("a").alias("g"), (F.col("id") % 7).alias("x"))
+    assert [r["quantile"] for r in O.exact_quantiles(whole, ["g"], "x", [0.5, 1.0], sorted_rows=10).orderBy("prob_index").collect()] == [3.0, 6.0]
+
+
 def test_min_rows_drops_small_groups(skewed):
     _, df = skewed
     assert {r["g"] for r in O.exact_quantiles(df, ["g"], "x", [0.5], min_rows=10).collect()} == {"hot"}

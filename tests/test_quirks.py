@@ -215,12 +215,6 @@ def test_planted_attribute_is_read_back_from_vectors(spark):
     assert score(E.knn_regression(df)) > 0.6 > score(E.knn_regression(shuffled))
 
 
-def test_knn_refuses_more_rows_than_the_cap(spark):
-    rows = spark.range(5).select("id", F.lit(1.0).alias("y"), F.array(F.lit(1.0)).alias("vec"), F.lit(0).alias("repeat"), F.lit(0).alias("fold"))
-    with pytest.raises(ValueError):
-        E.knn_neighbours(rows, cap=4)
-
-
 def test_exact_matches_alone_count_under_distance_weights(spark):
     rows = [(0, 1.0, [0.0], 0), (1, 5.0, [0.0], 1), (2, 100.0, [1.0], 1)]
     df = spark.createDataFrame(rows, "id long, y double, vec array<double>, fold int").withColumn("repeat", F.lit(0))
