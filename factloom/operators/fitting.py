@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from factloom.functions import vectors as V
 from factloom.functions.hashing import draw, md5int, unit
 from factloom.functions.numeric import bin_row, random_vector, scale_values
-from factloom.functions.ordered import dense_ids, number_copies
+from factloom.functions.ordered import dense_ids, number_copies, running_totals
 from factloom.operators.sampling import corruption_candidates
-from factloom.session import broadcast_if_small, pin
+from factloom.session import broadcast_if_small, path_exists, pin
 
 ENTITY, RELATION, NUMBER, LOSS = 0, 1, 2, 3
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
@@ -41,7 +41,8 @@ PARAM_SCHEMA = "kind int, id long, vec array<float>, m array<float>, v array<flo
 @dataclass(frozen=True)
 class FitConfig:
     """What is fitted and how. ``numeric`` is ``None`` (categorical triples only), ``interp`` or
-    ``bins``; ``model`` is ``translation``, ``bilinear``, ``relation_scaled`` or ``dot``."""
+    ``bins``; ``model`` is ``translation``, ``bilinear``, ``relation_scaled`` or ``dot``; ``draws`` of negatives are
+    uniform over a relation's ``members``, or tails by ``frequency`` (to the power 0.75)."""
 
     model: str = "relation_scaled"
     dim: int = 200
@@ -54,6 +55,7 @@ class FitConfig:
     p: int = 1
     negatives: int = 10
     lr: float = 1e-3
+    draws: str = "members"
     batch_size: int = 100_000
     seed: int = 0
 
@@ -144,6 +146,22 @@ def _unit_length(vec: Column) -> Column:
     return V.scale(vec, 1 / F.greatest(V.p_norm(vec, 2), F.lit(1e-12)))
 
 
+def frequency_candidates(rows: DataFrame) -> DataFrame:
+    """``(place, low, high, cand_id)``: the tails on a line, each as long as its count to the power 0.75 (in
+    thousandths), cut into as many places of equal width as there are tails.
+
+    A draw is a point of the line: an equi-join on its place and a comparison give the tail, so a draw costs
+    two rows on average, whatever the frequencies are.
+    """
+    counts = rows.groupBy(F.col("tail_id").alias("cand_id")).agg(F.count(F.lit(1)).alias("n"))
+    weights = counts.select(F.lit(0).alias("one"), "cand_id", F.round(F.pow("n", F.lit(0.75)) * 1000).cast("long").alias("weight"))
+    line = pin(running_totals(weights, ["one"], ["cand_id"], {"high": "weight"}))
+    line = line.withColumn("low", F.col("high") - F.col("weight"))
+    width = F.ceil(F.col("high_total") / F.lit(max(1, line.count()))).cast("long")
+    places = F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))
+    return line.select(F.explode(places).alias("place"), "low", "high", "cand_id", width.alias("width"), F.col("high_total").alias("total"))
+
+
 # --- one batch ---------------------------------------------------------------------------------
 
 
@@ -164,12 +182,25 @@ def batch_slots(positives: DataFrame, candidates: DataFrame, choices: DataFrame,
             )
         ),
     )
-    draws = (
-        positives.select(*base, F.explode(F.sequence(F.lit(0), F.lit(config.negatives - 1))).alias("k"))
-        .join(broadcast_if_small(choices, 64), "rel")
-        .withColumn("position", draw(F.col("n_choices"), F.lit(config.seed), F.lit(epoch), "pos_id", "k"))
-        .join(candidates, ["rel", "position"])
-        .select(
+    each = positives.select(*base, F.explode(F.sequence(F.lit(0), F.lit(config.negatives - 1))).alias("k"))
+    if config.draws == "frequency":
+        total, width = choices.first()
+        point = draw(F.lit(total), F.lit(config.seed), F.lit(epoch), "pos_id", "k")
+        drawn = (
+            each.withColumn("_point", point)
+            .withColumn("place", F.floor(F.col("_point") / F.lit(width)))
+            .join(candidates, "place")
+            .filter("low <= _point and _point < high")
+            .withColumns({"side": F.lit(1), "cand_val": null})
+        )
+    else:
+        drawn = (
+            each.join(broadcast_if_small(choices, 64), "rel")
+            .withColumn("position", draw(F.col("n_choices"), F.lit(config.seed), F.lit(epoch), "pos_id", "k"))
+            .join(candidates, ["rel", "position"])
+        )
+    return own.unionByName(
+        drawn.select(
             *base,
             (F.col("k") + 2).cast("int").alias("slot"),
             F.col("side").cast("int").alias("side"),
@@ -177,7 +208,6 @@ def batch_slots(positives: DataFrame, candidates: DataFrame, choices: DataFrame,
             F.col("cand_val").alias("x"),
         )
     )
-    return own.unionByName(draws)
 
 
 def grouped_positives(slots: DataFrame, groups: int) -> DataFrame:
@@ -200,7 +230,7 @@ def group_vectors(rows: DataFrame, params: DataFrame, config: FitConfig) -> Data
     if config.numeric and config.number_width:
         need.append(F.array(F.struct(F.lit(NUMBER).alias("kind"), F.when(F.col("numeric"), F.col("rel")).alias("id"))))
     wanted = rows.select("grp", F.inline(F.concat(*need))).filter("id is not null").distinct()
-    return wanted.join(params.select("kind", "id", "vec"), ["kind", "id"]).select("grp", "kind", "id", "vec")
+    return wanted.join(params.select("kind", "id", "vec"), ["kind", "id"]).select(F.col("grp").alias("grp"), "kind", "id", "vec")
 
 
 def score_and_slopes(model: str, p: int, h, r, t):
@@ -350,7 +380,7 @@ def _group_gradients(config: FitConfig, step: int):
                 config, rel[cut], numeric[cut], entity[cut], sides[cut], xs[cut],
                 values[ENTITY][place[cut]], values[RELATION][rel_at[cut]], values[NUMBER][num_at[cut]],
             ):
-                sums[kind][0 if kind == LOSS else np.searchsorted(ids[kind], keys)] += grads
+                sums[kind][keys if kind == LOSS else np.searchsorted(ids[kind], keys)] += grads
         ids[LOSS] = np.array([step])
         made = []
         for kind, grads in sums.items():
@@ -465,9 +495,13 @@ def fit_vectors(
         "batch"
     ).parquet(f"{work}/positives")
     positives = spark.read.parquet(f"{work}/positives")
-    corruption_candidates(positives).write.mode("overwrite").parquet(f"{work}/candidates")
+    drawn = frequency_candidates(positives) if config.draws == "frequency" else corruption_candidates(positives)
+    drawn.write.mode("overwrite").parquet(f"{work}/candidates")
     candidates = spark.read.parquet(f"{work}/candidates")
-    choices = candidates.groupBy("rel").agg(F.count(F.lit(1)).alias("n_choices"))
+    if config.draws == "frequency":
+        choices, candidates = candidates.select("total", "width").limit(1), candidates.drop("total", "width")
+    else:
+        choices = candidates.groupBy("rel").agg(F.count(F.lit(1)).alias("n_choices"))
     # one row per batch: as many as steps in an epoch
     sizes = {r["batch"]: r["count"] for r in positives.groupBy("batch").count().collect()}
     per_positive = config.negatives + (1 if config.loss == "softplus" else 0)
@@ -511,8 +545,7 @@ def save_params(params: DataFrame, folder: str, config_id: str, epoch: int) -> N
 def checkpoint_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """``(config_id, epoch)`` of every stored epoch."""
     path = f"{folder}/catalogue"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "config_id string, epoch int")
     return spark.read.schema("config_id string, epoch int").parquet(path).distinct()
 
@@ -566,12 +599,44 @@ def skipgram_triples(walks: DataFrame, words: DataFrame, window: int) -> DataFra
     )
 
 
+def subsampled(walks: DataFrame, sample: float, seed: int) -> DataFrame:
+    """Walks without some occurrences of frequent words: one of a share ``f`` stays with the
+    probability ``sqrt(sample / f) + sample / f``. The draw depends on the walk's words, its copy's number and the place."""
+    numbered = number_copies(walks.select("walk"), "_copy").withColumn("_walk", F.xxhash64("walk", "_copy"))
+    tokens = pin(numbered.select("_walk", "_copy", F.hash("walk").alias("_hash"), F.posexplode("walk").alias("_place", "word")))
+    total = tokens.count()
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_n") / F.lit(float(max(1, total)))
+    chance = F.sqrt(sample / share) + sample / share
+    kept = tokens.join(counts, "word").filter(unit(F.lit(seed), F.lit("keep"), "_walk", "_place") < chance)
+    # a walk is a few words long
+    words = F.array_sort(F.collect_list(F.struct("_place", "word")))
+    whole = kept.groupBy("_walk", "_copy", "_hash").agg(words.alias("_words"))
+    return whole.select(F.transform("_words", lambda x: x["word"]).alias("walk"))
+
+
 def fit_skipgram_vectors(
-    walks: DataFrame, size: int, epochs: int, seed: int, folder: str, window: int = 5, negatives: int = 5, lr: float = 0.025
+    walks: DataFrame,
+    size: int,
+    epochs: int,
+    seed: int,
+    folder: str,
+    window: int = 5,
+    negatives: int = 5,
+    lr: float = 0.025,
+    sample: float | None = None,
+    batch_size: int = 1_000_000,
 ) -> DataFrame:
-    """``(word, vec)`` by skip-gram with negative sampling, for vocabularies of any size."""
-    words = dense_ids(walks.select(F.explode("walk").alias("word")).distinct(), "word", "word_id")
-    config = FitConfig(model="dot", dim=size, negatives=negatives, lr=lr, seed=seed)
-    params = fit_vectors(skipgram_triples(walks, words, window), config, epochs, folder, "skipgram", resume=False)
-    vectors = export_vectors(params, config).filter("entity_id % 2 = 0")
-    return vectors.join(words, F.col("entity_id") == F.col("word_id") * 2).select("word", "vec")
+    """``(word, vec)`` by skip-gram with negative sampling, for vocabularies of any size.
+
+    Negatives are drawn by frequency to the power 0.75; with ``sample`` frequent words are thinned out. Every word
+    of the walks gets a vector, also one that thinning leaves in no pair: its initial one.
+    """
+    words = pin(dense_ids(walks.select(F.explode("walk").alias("word")).distinct(), "word", "word_id"))
+    config = FitConfig(model="dot", dim=size, negatives=negatives, lr=lr, draws="frequency", batch_size=batch_size, seed=seed)
+    thinned = walks if sample is None else subsampled(walks, sample, seed)
+    params = fit_vectors(skipgram_triples(thinned, words, window), config, epochs, folder, "skipgram", resume=False)
+    vectors = export_vectors(params, config).filter("entity_id % 2 = 0").withColumnRenamed("entity_id", "_id")
+    first = random_vector(F.col("word_id") * 2, size, "xavier_uniform", seed, "ent")
+    joined = words.join(vectors, F.col("_id") == F.col("word_id") * 2, "left")
+    return joined.select("word", F.coalesce("vec", first).alias("vec"))

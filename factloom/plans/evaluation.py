@@ -11,7 +11,7 @@ from factloom.operators import triples as T
 from factloom.operators import walks as W
 from factloom.plans import fixtures as X
 from factloom.plans.numeric import DIM, vector
-from factloom.plans.registry import query, r4, sql_md5int, sql_r4, table
+from factloom.plans.registry import query, r4, scratch, sql_md5int, sql_r4, table
 from factloom.plans.resolution import known
 from factloom.session import pin
 
@@ -126,11 +126,12 @@ def design_matrix_deep(spark, d):
 
 @query("design_matrix_walks")
 def design_matrix_walks(spark, d):
-    """Customers with walk vectors; entities outside the vocabulary get the default."""
-    graph = T.build_graph({"customer": table(spark, d, "customer")}, {"customer": X.SPECS["customer"]})
-    starts = W.start_entities(graph.triples, entities=graph.entities, fraction=1)
-    walks = pin(W.random_walks(W.graph_edges(graph.triples), starts, seed=1, max_walks=2))
-    vectors = W.vectors_or_default(graph.entities, W.fit_walk_vectors(walks, 8, 1, seed=0), 8)
+    """Customers with walk vectors of the keyed tables; entities outside the vocabulary get the default."""
+    graph = T.build_graph({t: table(spark, d, t) for t in X.SPECS}, X.SPECS)
+    ids = graph.entities.filter(F.col("name").startswith("customer:"))
+    starts = W.start_entities(graph.triples, targets=ids)
+    walks = pin(W.random_walks(W.graph_edges(graph.triples), starts, seed=1))
+    vectors = W.vectors_or_default(graph.entities, W.fit_walk_vectors(walks, 8, 1, 0, scratch(spark, "walks")), 8)
     return E.design_matrix(X.customer_targets(spark, d).drop("key"), graph.entities, vectors=vectors, dim=8)
 
 

@@ -9,10 +9,11 @@ from factloom.functions.hashing import md5int
 from factloom.operators import fitting as FT
 from factloom.operators import sampling as S
 from factloom.operators import scoring as C
+from factloom.operators import scoring_runs as SR
 from factloom.operators import triples as T
 from factloom.plans import fixtures as X
 from factloom.plans.numeric import DIM, rels, sql_spread, sql_vector, sql_weight, vector, weight
-from factloom.plans.registry import query, r4, scratch, sql_md5int, sql_r4
+from factloom.plans.registry import query, r4, scratch, sql_md5int, sql_r4, table
 from factloom.session import pin
 
 PART = tuple(X.RELATIONS)
@@ -198,6 +199,36 @@ for _model, _numeric, _loss in (
         return params
 
 
+SCORED = {
+    "scaled": FIT,
+    "translated": FT.FitConfig(model="translation", dim=8, numeric="bins", loss="margin", negatives=2, lr=0.05, batch_size=250_000, seed=3),
+}
+
+
+@query(
+    "scoring_run",
+    """SELECT config_id, epoch::INTEGER AS epoch, 'customer' AS dataset, 'r2' AS scoring, 'linear' AS prediction_model,
+  (SELECT count(*) FROM customer WHERE c_custkey % 7 > 0) AS n_rows, 15 AS n_scores, true AS all_scored
+  FROM (VALUES ('scaled', 1), ('scaled', 2), ('translated', 1)) t(config_id, epoch)""",
+)
+def scoring_run(spark, d):
+    """Two configurations fitted on the whole graph, their stored epochs scored on the customers' targets.
+
+    The second call finds nothing pending, so no run is logged twice.
+    """
+    folder = scratch(spark, "scoring")
+    triples = pin(X.graph(spark, d, *PART))
+    for name, epochs in (("scaled", (1, 2)), ("translated", (1,))):
+        FT.fit_vectors(triples, SCORED[name], max(epochs), folder, name, save_epochs=epochs)
+    targets = X.customer_targets(spark, d).drop("key")
+    name = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("name")
+    entities = table(spark, d, "customer").select(X.entity("c_custkey", "customer").alias("entity_id"), name)
+    for _ in range(2):
+        log = SR.score_pending(spark, folder, f"{folder}/log", SCORED, "customer", targets, entities, "r2", "linear", 3)
+    every = F.forall("scores", lambda s: s.isNotNull() & (s <= 1))
+    return log.select(*SR.KEY, "n_rows", F.size("scores").alias("n_scores"), every.alias("all_scored"))
+
+
 @query("epoch_loss")
 def epoch_loss(spark, d):
     params, triples, _ = fitted(spark, d)

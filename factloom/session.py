@@ -46,6 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the stored table.
 

@@ -106,3 +106,42 @@ def test_skipgram_vectors_cover_the_vocabulary(spark, tmp_path):
     assert set(out) == {"a", "b", "c", "r1"} and all(len(v) == 4 for v in out.values())
     pairs = FT.skipgram_triples(walks, walks.select(F.explode("walk").alias("word")).distinct().withColumn("word_id", F.lit(0)), 1)
     assert pairs.count() == 8
+
+
+def test_step_sends_each_vector_once_and_moves_no_parameters(spark, tmp_path):
+    """Groups hold every vector that their positives use, once; the update joins buckets without an exchange."""
+    config = FT.FitConfig(dim=4, numeric="interp", negatives=2, batch_size=40)
+    rows = FT.training_rows(toy(spark), config)
+    candidates = FT.corruption_candidates(rows)
+    choices = candidates.groupBy("rel").agg(F.count("*").alias("n_choices"))
+    state = FT.Generations(spark, str(tmp_path))
+    state.write(FT.start_params(rows, config).repartition(state.buckets, "kind", "id"))
+    grouped = FT.grouped_positives(FT.batch_slots(rows, candidates, choices, config, 1), 3)
+    sent = FT.group_vectors(grouped, state.read(), config)
+    keys = [(r["grp"], r["kind"], r["id"]) for r in sent.collect()]
+    assert len(keys) == len(set(keys))
+    used = {(r["grp"], FT.ENTITY, s["id"]) for r in grouped.collect() for s in r["s"] if s["id"] is not None}
+    assert used == {k for k in keys if k[1] == FT.ENTITY}
+    updated = FT.adam_update(state.read(), FT.batch_gradients(grouped, state.read(), config, 1), config, 1, 80 * 3, 1)
+    plan = updated._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "m#" in line]
+    assert scans and "Bucketed: true" in scans[0]
+    state.close()
+
+
+def test_pending_epochs_are_scored_once(spark, tmp_path):
+    from factloom.operators import scoring_runs as SR
+
+    configs = {"a": FT.FitConfig(dim=3, negatives=2, lr=0.1), "b": FT.FitConfig(model="bilinear", dim=4, negatives=2)}
+    for name, config in configs.items():
+        FT.fit_vectors(toy(spark), config, 2, str(tmp_path), name, save_epochs=(1, 2) if name == "a" else (2,))
+    entities = spark.range(40).select(F.col("id").alias("entity_id"), F.concat(F.lit("e"), "id").alias("name"))
+    targets = entities.select(F.col("name").alias("col_to_embed"), (F.col("entity_id") % 5).cast("double").alias("target"))
+    score = lambda which: SR.score_pending(
+        spark, str(tmp_path), str(tmp_path / "log"), which, "toy", targets, entities, "r2", "linear", 2
+    )
+    assert score({"a": configs["a"]}).count() == 2
+    log = score(configs).orderBy("config_id", "epoch").collect()
+    assert [(r["config_id"], r["epoch"], r["n_rows"], len(r["scores"])) for r in log] == [
+        ("a", 1, 40, 10), ("a", 2, 40, 10), ("b", 2, 40, 10),
+    ]

@@ -114,3 +114,43 @@ def test_more_points_than_any_one_block(spark):
     found = E.knn_neighbours(rows, 2, [1])
     assert found.count() == 12_000
     assert found.filter("id > 0 AND id < 11999 AND values[0] <> id - 1").count() == 0
+
+
+def boosted_rows(spark, n=400):
+    """The target is high where the feature is missing, low at zero, and in between elsewhere."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(n):
+        x = [None, 0.0, float(rng.normal() + 3), float(rng.normal() - 3)][i % 4]
+        rows.append((i, x, {0: 5.0, 1: -5.0}.get(i % 4, 0.0) + 0.1 * rng.normal(), i % 3))
+    return spark.createDataFrame(rows, "entity_id long, x double, target double, fold int").withColumn("repeat", F.lit(0))
+
+
+def test_trees_tell_missing_from_zero(spark):
+    scores = E.cross_validated_scores(boosted_rows(spark), ["x"], True, "r2", max_iter=5).collect()
+    assert len(scores) == 3 and all(r["r2"] > 0.9 for r in scores)
+
+
+def test_grid_search_chooses_what_brute_force_chooses(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(float, x), float(x[0] * x[1] > 0), i % 2) for i, x in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "entity_id long, a double, b double, target double, fold int").withColumn("repeat", F.lit(0))
+    prepared, stages = E._prepared(df, ["a", "b"])
+    grid = {"maxDepth": (1, 4), "minInstancesPerNode": (4, 60)}
+    model = E.grid_search(prepared, stages, False, "average_precision", 0, 3, grid).stages[-1]
+    inner = prepared.withColumn("inner", F.pmod(E.md5int(F.lit(0), "entity_id"), F.lit(3)).cast("int"))
+    best, chosen = -1.0, None
+    for depth in grid["maxDepth"]:
+        for leaf in grid["minInstancesPerNode"]:
+            total = 0.0
+            for fold in range(3):
+                estimator = E._estimator(False, 0, 3).setMaxDepth(depth).setMinInstancesPerNode(leaf)
+                fitted = E.Pipeline(stages=[*stages, estimator]).fit(inner.filter(F.col("inner") != fold))
+                scored = E._scored(fitted, inner.filter(F.col("inner") == fold), False).toPandas().sort_values("score", ascending=False)
+                hits = scored["target"].to_numpy().cumsum()
+                ends = scored["score"].to_numpy() != np.append(scored["score"].to_numpy()[1:], np.nan)
+                steps, seen = hits[ends], np.flatnonzero(ends) + 1
+                total += (np.diff(np.append(0, steps)) * steps / seen).sum() / hits[-1]
+            if total > best + 1e-12:
+                best, chosen = total, (depth, leaf)
+    assert (model.getMaxDepth(), model.getMinInstancesPerNode()) == chosen

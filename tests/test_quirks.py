@@ -276,3 +276,14 @@ def test_undeclared_edge_relation_keeps_its_tails(spark):
     edges = spark.createDataFrame([("a", "knows", "b"), ("a", "owns", "c")], "h string, r string, t string")
     spec = T.TableSpec("h", "person", rel_col="r", tail_col="t", edge_domains={"knows": "person"})
     assert {r["tail"] for r in T.edge_table(edges, spec).collect()} == {"person:b", "owns:c"}
+
+
+def test_one_hot_index_takes_any_number_of_values(spark):
+    rows = spark.range(1_000_000).select("id", F.concat(F.lit("v"), "id").alias("v"), F.lit(1).alias("_value"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None, 1), (-2, "other", 1)], "id long, v string, _value int").withColumn("_value", F.lit(1)))
+    dictionary = H.category_dictionary(rows.filter("id >= 0"), "v")
+    out = H.one_hot_index(rows.drop("_value"), "v", dictionary, "hot", missing=True)
+    found = out.agg(F.count("*"), F.count_distinct("hot.index"), F.max("hot.index"), F.max("hot.size")).first()
+    assert tuple(found) == (1_000_002, 1_000_001, 1_000_000, 1_000_001)
+    special = {r["id"]: r["hot"]["index"] for r in out.filter("id < 0").collect()}
+    assert special == {-1: 1_000_000, -2: None}
