@@ -39,7 +39,8 @@ from factloom.session import broadcast_if_small, pin
 CLASSES = 64
 BITS = 1024
 BLOCK_SETS = 256
-PAIRS_PER_TASK = 500
+PAIRS_PER_TASK = 10_000
+PAIRS_AT_ONCE = 200_000
 # Bands grow by this factor: few sets then lie near the end of one and need the next band's tiles too.
 BAND_GROWTH = 1.5
 ROUNDS = 4
@@ -242,19 +243,28 @@ def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = batch.column(0)[k].values, batch.column(1)[k].values
-                (na, ca, sa), (nb, cb, sb) = ([x.field(f).to_numpy() for f in (0, 1, 2)] for x in (a, b))
-                wa, wb = _words(a.field(3)), _words(b.field(3))
-                left, right = [], []
-                for i in range(len(na)):
-                    differing = np.bitwise_count(wb ^ wa[i]).sum(axis=1)
-                    j = np.flatnonzero(_can(sa[i], sb, differing, percent) & (cb != ca[i]) & (nb != na[i]))
-                    left.append(np.minimum(na[i], nb[j]))
-                    right.append(np.maximum(na[i], nb[j]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"]
-                )
+            if not batch.num_rows:
+                continue
+            (node_a, comp_a, n_a, bits_a), (node_b, comp_b, n_b, bits_b) = (
+                [held.field(f) if f == 3 else held.field(f).to_numpy() for f in range(4)]
+                for held in (batch.column(0).flatten(), batch.column(1).flatten())
+            )
+            words_a, words_b = _words(bits_a), _words(bits_b)
+            rows, columns = (c.value_lengths().to_numpy().astype(np.int64) for c in batch.columns)
+            # The pairs of all rows' blocks, numbered one row after the other.
+            ends = np.cumsum(rows * columns)
+            first_a, first_b = np.cumsum(rows) - rows, np.cumsum(columns) - columns
+            for start in range(0, int(ends[-1]), PAIRS_AT_ONCE):
+                pair = np.arange(start, min(start + PAIRS_AT_ONCE, int(ends[-1])))
+                row = np.searchsorted(ends, pair, side="right")
+                inside = pair - (ends[row] - rows[row] * columns[row])
+                i, j = first_a[row] + inside // columns[row], first_b[row] + inside % columns[row]
+                other = (comp_a[i] != comp_b[j]) & (node_a[i] != node_b[j])
+                i, j = i[other], j[other]
+                differing = np.bitwise_count(words_a[i] ^ words_b[j]).sum(axis=1)
+                fine = _can(n_a[i], n_b[j], differing, percent)
+                a, b = node_a[i[fine]], node_b[j[fine]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
