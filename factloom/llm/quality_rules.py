@@ -2,8 +2,11 @@
 
 A repetitive text compresses too well, random text hardly at all. Both limits depend on the
 length, since short inputs pay the frame header and long ones find more to refer to. They come from
-the ratios of all documents that pass the word rules, by classes of half an octave of length, and
-lie within fixed outer bands; a corpus of fewer than ``MIN_CLASS`` such documents has only the outer ones.
+the ratios of all documents that pass the word rules, by classes of half an octave of length: the median, and a width of
+``TAILS`` median deviations that is neither below nor above its bounds. Medians stay put until junk makes up half of
+a class. Every class is blended with its neighbours and with a fixed curve by numbers of documents, so that a small
+class, or a small corpus, is judged by the same rule as a large one. Fixed outer bands hold everywhere; their floors
+lie above what text in 64 symbols can reach.
 Before the bands come plain word rules. Null and empty texts have no words and fail the word rules; copies
 and ties are judged alike, as a document's verdict depends on its text only.
 """
@@ -26,33 +29,32 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Upper end of the length in bytes, least and greatest ratio of the whole document.
 BANDS = (
-    (256, 0.0, 4.0),
-    (1024, 1.05, 4.0),
-    (4096, 1.2, 4.5),
-    (16384, 1.3, 5.0),
-    (float("inf"), 1.35, 6.0),
+    (256, 1.1, 4.0),
+    (512, 1.2, 4.0),
+    (1024, 1.32, 4.0),
+    (4096, 1.38, 4.5),
+    (16384, 1.38, 5.0),
+    (float("inf"), 1.38, 6.0),
 )
 CHUNK = 2048
 LEAST_CHUNK = 128
 # For chunks of half size on.
-CHUNK_BAND = (1.2, 6.0)
+CHUNK_BAND = (1.38, 6.0)
 LEVEL = 3
-# Quantile of the logarithms of ratios, and how many times its distance from the median a limit has.
-LOW_TAIL = (0.05, 3.0)
-HIGH_TAIL = (0.99, 2.0)
-# Least factor between median and limit, and how much wider the limits of pooled classes are.
-LEAST_WIDTH = 1.15
-# Classes with fewer members are pooled with their neighbours.
-MIN_CLASS = 100
+# Median deviations of the logarithms of ratios between median and limit, and the least and greatest factor of the limit.
+LOW_TAIL = (12.0, 1.15, 1.3)
+HIGH_TAIL = (12.0, 1.35, 1.6)
+# Documents that the fixed curve, and neighbouring classes, count for, and the curve: ratio of prose in 128 bytes, its
+# gain with each class, its end, and the median deviation.
+PRIOR_WEIGHT = 20
+PRIOR = (1.37, 0.09, 2.4, 0.03)
 _STEPS = 500
 
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
-FIELDS = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, ratio double, low_chunk double, high_chunk double, kept boolean"
-)
-_PART = "struct<class:int,ratio:double>"
-_MEASURED = FIELDS.replace("kept boolean", f"in_bands boolean, class int, parts array<{_PART}>")
+_COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+_RATIOS = "ratio double, low_chunk double, high_chunk double"
+FIELDS = f"{_COUNTS}, kept boolean, {_RATIOS}"
+_MEASURED = f"{_COUNTS}, {_RATIOS}, in_bands boolean, class int, parts array<struct<class:int,ratio:double>>"
 
 
 def repeated_words(words: list[str]) -> int:
@@ -126,28 +128,34 @@ def _judge(texts: list[str]):
     return [*plain, pa.array(classes, pa.int32()), pa.array(parts, kind)]
 
 
-def _quantile(counts: Counter, q: float) -> float:
-    steps = sorted(counts)
-    ahead = np.cumsum([counts[x] for x in steps])
-    return steps[int(np.searchsorted(ahead, q * ahead[-1]))] / _STEPS
+def _centre(counts: Counter) -> tuple[float, float]:
+    """Median and median deviation of the logarithms that ``counts`` holds in steps."""
+    steps = np.array(sorted(counts), dtype=float)
+    weights = np.array([counts[int(x)] for x in steps])
+
+    def median(values: np.ndarray) -> float:
+        order = np.argsort(values, kind="stable")
+        ahead = np.cumsum(weights[order])
+        return float(values[order][np.searchsorted(ahead, (ahead[-1] + 1) // 2)])
+
+    middle = median(steps)
+    return middle / _STEPS, median(np.abs(steps - middle)) / _STEPS
 
 
 def class_limits(counts: dict[int, Counter]) -> dict[int, tuple[float, float]]:
     """Least and greatest ratio of each class, from its counts of ``round(_STEPS * ln(ratio))``."""
+    size = {k: sum(c.values()) for k, c in counts.items()}
+    centre = {k: np.array(_centre(c)) for k, c in counts.items()}
+    first, gain, end, deviation = PRIOR
     out = {}
-    reach = max(counts, default=0) - min(counts, default=0)
     for k in counts:
-        pool, width = Counter(counts[k]), 0
-        while sum(pool.values()) < MIN_CLASS and width < reach:
-            width += 1
-            for x in (k - width, k + width):
-                pool.update(counts.get(x, {}))
-        if sum(pool.values()) < MIN_CLASS:
-            out[k] = (0.0, math.inf)
-            continue
-        middle, least = _quantile(pool, 0.5), math.log(LEAST_WIDTH)
-        down = max(LOW_TAIL[1] * (middle - _quantile(pool, LOW_TAIL[0])), least) + least * bool(width)
-        up = max(HIGH_TAIL[1] * (_quantile(pool, HIGH_TAIL[0]) - middle), least) + least * bool(width)
+        total, weight = PRIOR_WEIGHT * np.array([math.log(min(end, first + gain * max(0, k - 14))), deviation]), PRIOR_WEIGHT
+        for j in counts:
+            if j != k:
+                near = size[j] * 2.0 ** -abs(j - k)
+                total, weight = total + near * centre[j], weight + near
+        middle, spread = (size[k] * centre[k] + PRIOR_WEIGHT * total / weight) / (size[k] + PRIOR_WEIGHT)
+        down, up = (min(max(n * spread, math.log(least)), math.log(most)) for n, least, most in (LOW_TAIL, HIGH_TAIL))
         out[k] = (math.exp(middle - down), math.exp(middle + up))
     return out
 
