@@ -221,6 +221,28 @@ def test_merged_orders_equal_for_any_shard_size():
         assert often == {i for i in range(len(s) - 199) if counts[s[i : i + 200]] > 1}
 
 
+def test_groups_of_a_crowded_anchor_are_bounded_in_bytes(spark, monkeypatch):
+    """Pairs of near copies under one shared header: all their windows would meet in a few groups."""
+    block, sizes, merge = 20_000, [], substring_dedup.merged_spans
+
+    def spy(contexts):
+        contexts = contexts.persist()
+        sizes.append(contexts.groupBy("g").agg(F.sum(F.length("data")).alias("n")).agg(F.max("n")).first()[0])
+        return merge(contexts)
+
+    monkeypatch.setattr(substring_dedup, "merged_spans", spy)
+    monkeypatch.setattr(substring_dedup, "MAX_CONTEXTS", 20)
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    header = clear_text(7, 20)[:110] + " "
+    texts = []
+    for i in range(150):
+        body = clear_text(1000 + i, 45)[:200]
+        texts += [header + body + " x", header + body + " y"]
+    rows = substring_dedup.without_repeats(documents(spark, texts).select("doc_id", "text")).collect()
+    assert all(len(r.kept) == 1 for r in rows)
+    assert 0 < max(sizes) <= 2 * block
+
+
 def test_quality_rules(spark):
     texts = [*AWKWARD, clear_text(1), "spam ham " * 200, "line a b\nline a b\n\n\n" + clear_text(2)]
     rows = {r.row.doc_id: r for r in quality_rules.quality_rules(documents(spark, texts), ["doc_id"]).collect()}
@@ -255,6 +277,47 @@ def test_quality_limits_come_from_the_corpus(spark):
         assert n <= sum(map(len, parts)) < n + quality_rules.CHUNK and max(map(len, parts)) <= quality_rules.CHUNK
 
 
+@pytest.mark.parametrize("percent", [2, 8, 20, 40])
+def test_quality_limits_hold_whatever_the_share_of_junk(spark, percent):
+    draw = random.Random(percent)
+    clean = [clear_text(i, int(60 * 30 ** draw.random())) for i in range(500)]
+    junk = []
+    for text in clean[: 5 * percent]:
+        raw = base64.b64encode(draw.randbytes(len(text))).decode()[: max(500, len(text))]
+        junk.append(" ".join(raw[i : i + 8] for i in range(0, len(raw), 8)))
+    rows = {r.row.doc_id: r for r in quality_rules.quality_rules(documents(spark, clean + junk), ["doc_id"]).collect()}
+    assert [i for i in rows if rows[i].kept] == list(range(len(clean)))
+    assert not any(r.base_failed for r in rows.values())
+
+
+def test_quality_limits_of_a_few_documents_reject_junk_too(spark):
+    junk = [base64.b64encode(random.Random(i).randbytes(900)).decode() for i in range(3)]
+    texts = [clear_text(1), clear_text(2, 400), *[" ".join(t[i : i + 8] for i in range(0, len(t), 8)) for t in junk]]
+    rows = quality_rules.quality_rules(documents(spark, texts), ["doc_id"]).collect()
+    assert [r.kept for r in sorted(rows, key=lambda r: r.row.doc_id)] == [True, True, False, False, False]
+    assert quality_rules.quality_rules(documents(spark, []), ["doc_id"]).count() == 0
+
+
+def test_quality_counts_equal_brute_force(spark):
+    draw = random.Random(9)
+    texts = list(AWKWARD)
+    for _ in range(150):
+        words = [draw.choice(["a", "bb", "ccc", "d#d", "é", "日本", "x|y", "A"]) for _ in range(draw.randint(0, 25))]
+        texts.append("".join(w + draw.choice([" ", "  ", "\n", "\n\n", "\t"]) for w in words))
+    got = {r.row.doc_id: r for r in quality_rules.quality_rules(documents(spark, texts), ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        covered = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        repeated = sum(x in lines[:k] for k, x in enumerate(lines))
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), repeated, len(covered))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
+
+
 def test_toxicity_and_quality_learn_and_survive_missing_labels(spark):
     texts = [*AWKWARD, *[clear_text(i, 40) + (" vile scum here" if i % 4 == 0 else "") for i in range(200)]]
     docs = documents(spark, texts)
