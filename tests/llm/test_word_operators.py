@@ -73,7 +73,7 @@ def test_spelling_variants_equal_brute_force(spark, monkeypatch, block_words):
     got = {r.word: r[1:] for r in spelling.spelling_variants(counted, 2, 2).select("word", "form", "root", "n", "n_near", "form_n").collect()}
     want = spelling_by_hand(rows, 7, 4, 2, 2)
     assert got == want
-    assert sum(v[0] is not None for v in want.values()) > 20 and "x" * 3000 in want
+    assert sum(v[0] is not None for v in want.values()) > 20 and max(map(len, want)) >= 2999
     assert spelling.spelling_variants(spelling.word_counts(documents(spark, []))).count() == 0
 
 
