@@ -182,14 +182,14 @@ def cv_linear_many_features(spark, d):
 XS = [f"x{i}" for i in range(64)]
 
 
-def labelled_vectors(spark, d, label, stratified=False):
-    """All embeddings as features, in five folds."""
+def labelled_vectors(spark, d, label, stratified=False, n_folds=E.N_FOLDS):
+    """All embeddings, in all dimensions, as features of rows in folds."""
     rows = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("entity_id"), label.cast("double").alias("target"), *[F.col("embedding")[i].alias(x) for i, x in enumerate(XS)]
     )
     if stratified:
         return E.stratified_folds(rows, "entity_id", "target", 1, seed=2)
-    return E.repeated_folds(rows, "entity_id", 1, seed=2)
+    return E.repeated_folds(rows, "entity_id", 1, seed=2, n_folds=n_folds)
 
 
 @query("cv_boosted_regression")
@@ -206,7 +206,8 @@ def cv_boosted_classification(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    rows = labelled_vectors(spark, d, F.col("label"))
+    """The full grid with three inner folds, in each of two outer folds."""
+    rows = labelled_vectors(spark, d, F.col("label"), n_folds=2)
     return E.cross_validated_scores(rows, XS, True, "r2", tune=True, max_iter=3)
 
 
