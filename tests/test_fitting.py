@@ -145,3 +145,40 @@ def test_pending_epochs_are_scored_once(spark, tmp_path):
     assert [(r["config_id"], r["epoch"], r["n_rows"], len(r["scores"])) for r in log] == [
         ("a", 1, 40, 10), ("a", 2, 40, 10), ("b", 2, 40, 10),
     ]
+
+
+def test_negatives_of_an_epoch_are_drawn_in_one_pass(spark, tmp_path, monkeypatch):
+    """Steps read neither candidates nor other batches: one pass over both for each epoch, not for each batch."""
+    calls, drawn = [], FT.batch_slots
+    monkeypatch.setattr(FT, "batch_slots", lambda *args: calls.append(1) or drawn(*args))
+    config = FT.FitConfig(dim=3, numeric="interp", negatives=2, batch_size=20)
+    params = FT.fit_vectors(toy(spark), config, 2, str(tmp_path))
+    steps = params.filter(F.col("kind") == FT.LOSS).count()
+    assert steps == 8 and len(calls) == 2
+
+
+def test_update_sums_the_gradients_of_all_groups(spark):
+    """Also where a parameter's gradients come in several Arrow batches."""
+    config = FT.FitConfig(model="dot", dim=2, lr=0.5)
+    params = spark.createDataFrame(
+        [(0, i, [1.0, float(i)], [0.5, 0.0], [0.25, 1.0]) for i in range(6)] + [(3, 1, [7.0], [1.0], [])], FT.PARAM_SCHEMA
+    )
+    grads = [(0, i, [float(g), 2.0]) for i in range(5) for g in range(i + 1)] + [(3, 2, [3.0])] * 4
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        made = FT.adam_update(params, spark.createDataFrame(grads, "kind int, id long, grad array<double>"), config, 2, 10, 3)
+        out = {(r["kind"], r["id"]): r for r in made.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert len(out) == 8 and made.count() == 8
+    for i in range(6):
+        g = np.array([sum(range(i + 1)), 2.0 * (i + 1)]) / 10 * (i < 5)
+        m = 0.9 * np.array([0.5, 0.0]) + 0.1 * g
+        v = 0.999 * np.array([0.25, 1.0]) + 0.001 * g * g
+        vec = np.array([1.0, i]) - 0.5 / (1 - 0.9**2) * m / (np.sqrt(v) / np.sqrt(1 - 0.999**2) + 1e-8)
+        for name, value in (("vec", vec), ("m", m), ("v", v)):
+            assert out[0, i][name] == pytest.approx(value, rel=1e-5), (i, name)
+    assert (out[3, 1]["vec"], out[3, 1]["m"]) == ([7.0], [1.0])
+    assert out[3, 2]["vec"] == pytest.approx([1.2]) and out[3, 2]["m"] == [3.0]
