@@ -88,3 +88,39 @@ def test_number_copies(spark, monkeypatch):
     out = O.number_copies(df, "copy").collect()
     assert sorted(r["copy"] for r in out if r["k"] == "a") == list(range(50))
     assert [r["copy"] for r in out if r["k"] == "b"] == [0]
+
+
+def plan_lines(df):
+    return [line.strip(" :+-*") for line in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+
+
+def test_sizes_of_large_groups_are_joined_without_moving_the_rows(skewed):
+    rows, df = skewed
+    lines = plan_lines(O.number_in_groups(df, ["g"], ["id"], "n", 100))
+    # the one by group alone moves the offsets, a row for each bucket
+    assert len([line for line in lines if line.startswith("Exchange hashpartitioning(g#") and "_bucket" not in line]) == 1
+
+
+def test_only_rows_of_many_copies_move_twice(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 7,) for i in range(40)] + [(8,)] * 25, "x int")
+    monkeypatch.setattr(O, "COPIES_PER_CHUNK", 10)
+    lines = plan_lines(O.number_copies(df, "c"))
+    second = next(k for k, line in enumerate(lines) if "REPARTITION_BY_COL" in line)
+    assert any(line.startswith("Filter") and "> 10)" in line for line in lines[second:])
+    out = sorted((r["x"], r["c"]) for r in O.number_copies(df, "c").collect())
+    want = Counter([i % 7 for i in range(40)] + [8] * 25)
+    assert out == sorted((x, k) for x, n in want.items() for k in range(n))
+
+
+def test_tasks_are_bounded_and_smaller_sizes_stay(spark):
+    from factloom import session
+
+    key = session.TASK_SIZES[0]
+    before = spark.conf.get(key)
+    try:
+        for size, want in (("512m", f"{session.TASK_BYTES}b"), ("1m", "1m")):
+            spark.conf.set(key, size)
+            session.tune(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
