@@ -176,7 +176,9 @@ def encode_triples(spark, d):
 
 @query("decode_triples", f"{SQL_TRIPLES} SELECT head, rel, kind, tail, value FROM triples")
 def decode_triples(spark, d):
-    return T.decode_triples(*encoded(spark, d))
+    triples, entities, relations = encoded(spark, d)
+    # triples with and without a tail are read apart: stored, they are encoded once
+    return T.decode_triples(pin(triples), entities, relations)
 
 
 @query(
