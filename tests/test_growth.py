@@ -1,8 +1,10 @@
 """What must not grow faster than the input: what is moved, made twice or copied."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import neighbours as N
 from factloom.operators import scoring as C
 from factloom.plans import QUERIES
 
@@ -57,3 +59,16 @@ def test_numbers_are_not_moved_to_find_their_tails(spark):
     after = C.attach_heads(C.route_tails(triples, entities, weights), entities).collect()
     same = lambda rows: sorted(str(sorted(r.asDict().items())) for r in rows)
     assert same(both) == same(after)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6, 1e200])
+def test_fast_distances_lose_no_neighbour(shift):
+    rng = np.random.default_rng(3)
+    a, b = (np.round(rng.normal(size=(n, 7)), 1) + shift for n in (60, 300))
+    b[:60] = a
+    mask = rng.random((60, 300)) < 0.5
+    for p in (1, 2):
+        far = N.distances(a, b, p)
+        want = N.smallest(np.where(mask, far, np.inf), 16)
+        ((row, col, exact),) = N.nearest_pairs(a, b, p, [mask], 16)
+        assert (row == want[0]).all() and (col == want[1]).all() and (exact == far[row, col]).all()
