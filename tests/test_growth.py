@@ -1,9 +1,11 @@
 """What must not grow faster than the input: what is moved, made twice or copied."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import deep as D
 from factloom.operators import neighbours as N
 from factloom.operators import scoring as C
 from factloom.plans import QUERIES
@@ -72,3 +74,21 @@ def test_fast_distances_lose_no_neighbour(shift):
         want = N.smallest(np.where(mask, far, np.inf), 16)
         ((row, col, exact),) = N.nearest_pairs(a, b, p, [mask], 16)
         assert (row == want[0]).all() and (col == want[1]).all() and (exact == far[row, col]).all()
+
+
+def test_a_relation_with_many_links_for_a_head_sends_one_row(spark):
+    rows = [("C1", "cat", i // 2) for i in range(100)] + [("N0", "num", i) for i in range(100)] + [("C2", "cat", 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["col", "kind", "head"])
+    sent = [r for b in D._heads_once()([batch, batch]) for r in b.to_pylist()]
+    assert [r["again"] for r in sent if r["col"] == "C1"] == [True]
+    assert sum(r["col"] == "N0" for r in sent) == 200  # a repeat in another batch is found by counting
+    links = spark.createDataFrame(rows, "col string, kind string, head long").repartition(3)
+    found = {r["col"]: r["is_functional"] for r in D.functional_relations(links).collect()}
+    assert found == {"C1": False, "N0": True, "C2": True}
+
+
+def test_shapes_of_relations_are_found_once_for_all_depths(spark, tables, monkeypatch):
+    calls, found = [], D.functional_relations
+    monkeypatch.setattr(D, "functional_relations", lambda links: calls.append(1) or found(links))
+    matrix = QUERIES["feature_registry"](spark, tables)
+    assert len(calls) == 1 and matrix.count() == 2
