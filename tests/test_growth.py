@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import deep as D
 from factloom.operators import neighbours as N
+from factloom.operators import resolve as R
 from factloom.operators import scoring as C
 from factloom.plans import QUERIES
 
@@ -76,6 +77,16 @@ def test_fast_distances_lose_no_neighbour(shift):
         assert (row == want[0]).all() and (col == want[1]).all() and (exact == far[row, col]).all()
 
 
+def test_a_text_is_not_moved_once_for_each_of_its_words(spark):
+    names = spark.createDataFrame([("One two two",), ("three",), (None,)], "text string")
+    words = spark.createDataFrame([("One", [3.0, 4.0]), ("Two", [0.0, 2.0])], "word string, vec array<double>")
+    got = R.name_vectors(names, "text", words, 2)
+    assert "groupingExpressions" not in plan(got) and "Aggregate [text" not in plan(got)
+    assert {r["text"]: r["vec"] for r in got.collect()} == {
+        "One two two": pytest.approx([0.2, (0.8 + 2) / 3]), "three": [0.0, 0.0], None: [0.0, 0.0],
+    }
+
+
 def test_a_relation_with_many_links_for_a_head_sends_one_row(spark):
     rows = [("C1", "cat", i // 2) for i in range(100)] + [("N0", "num", i) for i in range(100)] + [("C2", "cat", 5)]
     batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["col", "kind", "head"])
