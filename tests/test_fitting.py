@@ -182,3 +182,52 @@ def test_update_sums_the_gradients_of_all_groups(spark):
             assert out[0, i][name] == pytest.approx(value, rel=1e-5), (i, name)
     assert (out[3, 1]["vec"], out[3, 1]["m"]) == ([7.0], [1.0])
     assert out[3, 2]["vec"] == pytest.approx([1.2]) and out[3, 2]["m"] == [3.0]
+
+
+def test_buckets_follow_cores_and_bytes_not_shuffle_partitions(spark, tmp_path):
+    """A step has a task for each core; between steps a vector is one value."""
+    cores = spark.sparkContext.defaultParallelism
+    assert FT.bucket_count(spark, 1000, 8) == cores
+    assert FT.bucket_count(spark, 10**8, 8) >= 10**8 * 12 * 8 / FT.BUCKET_BYTES
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        state = FT.Generations(spark, str(tmp_path))
+        assert state.buckets == cores
+        params = spark.createDataFrame([(0, 5, [1.5, -2.0], [0.5, 0.0], [0.25, 1.0]), (3, 1, [7.0], [1.0], [])], FT.PARAM_SCHEMA)
+        state.write(params)
+        assert dict(state.read().dtypes)["vec"] == "binary"
+        assert sorted(state.close().collect()) == sorted(params.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_negatives_are_drawn_for_a_bounded_number_of_slots(spark, tmp_path, monkeypatch):
+    """Many batches are drawn in several passes, each over its own positives; the fit is the same."""
+    config = FT.FitConfig(dim=3, numeric="interp", negatives=2, batch_size=20)
+    whole = rows(FT.fit_vectors(toy(spark), config, 1, str(tmp_path / "a")))
+    passes, drawn, dropped = [], FT.batch_slots, []
+    monkeypatch.setattr(FT, "batch_slots", lambda positives, *args: passes.append(positives.count()) or drawn(positives, *args))
+    monkeypatch.setattr(FT, "SLOTS_AT_ONCE", 1)
+    monkeypatch.setattr(FT, "drop_finished", lambda session: dropped.append(1))
+    cut = rows(FT.fit_vectors(toy(spark), config, 1, str(tmp_path / "b")))
+    assert len(passes) == len(dropped) == 4 and sum(passes) == 80
+    assert whole.keys() == cut.keys()
+    for key, vec in whole.items():
+        assert cut[key] == pytest.approx(vec, abs=1e-6)
+
+
+def test_slots_of_a_positive_are_not_gathered_as_lists(spark):
+    config = FT.FitConfig(dim=3, numeric="interp", negatives=3)
+    positives = FT.training_rows(toy(spark), config)
+    candidates = FT.corruption_candidates(positives)
+    choices = candidates.groupBy("rel").agg(F.count("*").alias("n_choices"))
+    slots = FT.batch_slots(positives, candidates, choices, config, 1)
+    made = FT.grouped_positives(slots, 3)
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in slots.collect():
+        want.setdefault(r["pos_id"], set()).add((r["slot"], r["side"], r["id"], r["x"]))
+    got = {r["pos_id"]: [tuple(s) for s in r["s"]] for r in made.collect()}
+    assert {k: set(v) for k, v in got.items()} == want
+    assert all([s[0] for s in v] == list(range(5)) for v in got.values())
