@@ -231,3 +231,12 @@ def test_slots_of_a_positive_are_not_gathered_as_lists(spark):
     got = {r["pos_id"]: [tuple(s) for s in r["s"]] for r in made.collect()}
     assert {k: set(v) for k, v in got.items()} == want
     assert all([s[0] for s in v] == list(range(5)) for v in got.values())
+
+
+def test_skipgram_pairs_are_made_of_numbers(spark):
+    """Words are looked up for each place of a walk, not for each pair; an unknown word keeps its place."""
+    walks = spark.createDataFrame([(["a", "x", "b", None, "a"],), (["a", "x", "b", None, "a"],), (["b"],)], "walk array<string>")
+    words = spark.createDataFrame([("a", 0), ("b", 1)], "word string, word_id long")
+    pairs = FT.skipgram_triples(walks, words, 2)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted((r["head"], r["tail_id"]) for r in pairs.collect()) == sorted([(0, 3), (2, 1), (2, 1), (0, 3)] * 2)
